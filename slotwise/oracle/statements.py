@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from slotwise.oracle import reads
+from slotwise.oracle import booking, reads
 
 
 def oracle_sql() -> dict[str, str]:
-    return reads.statements()
+    return reads.statements() | booking.statements()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.operators import reads
+from slotwise.operators import booking, reads
 from slotwise.sources.clinic import Clinic
 from slotwise.sources.schemas import TABLES
 from slotwise.sources.star import star_clinic
@@ -65,8 +65,40 @@ def _reads() -> dict[str, Query]:
     return found
 
 
+def _bookings() -> dict[str, Query]:
+    def decided(c: Clinic, semantics: str) -> DataFrame:
+        return booking.booking_decisions(c, c.requests, NOON, semantics=semantics)
+
+    def cancelled(c: Clinic) -> DataFrame:
+        return booking.cancel_decisions(c, c.cancels, NOON)
+
+    def logged(c: Clinic) -> DataFrame:
+        return booking.booking_log(c, c.booking_log, NOON)
+
+    found: dict[str, Query] = {
+        "booking_eligibility": lambda c: booking.booking_eligibility(c, c.requests, NOON),
+        "cancel_decisions": cancelled,
+        "journal_after_cancel": lambda c: booking.journal_after_cancel(c, cancelled(c)),
+        "tickets_after_cancel": lambda c: booking.tickets_after_cancel(c, cancelled(c)),
+        "booking_log": logged,
+        "journal_after_log": lambda c: booking.journal_after_log(c, logged(c)),
+        "tickets_after_log": lambda c: booking.tickets_after_log(c, logged(c)),
+    }
+    for s in SEMANTICS:
+        found |= {
+            f"booking_decisions_{s}": lambda c, s=s: decided(c, s),
+            f"journal_after_booking_{s}": lambda c, s=s: booking.journal_after_booking(
+                c, decided(c, s), semantics=s
+            ),
+            f"tickets_after_booking_{s}": lambda c, s=s: booking.tickets_after_booking(
+                c, decided(c, s)
+            ),
+        }
+    return found
+
+
 def registered() -> dict[str, Query]:
-    return _reads()
+    return _reads() | _bookings()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
