@@ -21,17 +21,3 @@ def glue(*parts: Column | str | int) -> Column:
     """Concatenation that skips nulls; plain Python values are literals."""
     columns = [p if isinstance(p, Column) else F.lit(p) for p in parts]
     return F.concat_ws("", *[c.cast("string") for c in columns])
-
-
-def letters(number: Column, length: int) -> Column:
-    """Text of `length` Latin letters (either case) drawn from a hash of `number`."""
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-    picks = [
-        F.substring(
-            F.lit(alphabet),
-            (F.pmod(F.xxhash64(number, F.lit(i)), F.lit(len(alphabet))) + 1).cast("int"),
-            F.lit(1),
-        )
-        for i in range(length)
-    ]
-    return F.concat(*picks)

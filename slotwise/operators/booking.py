@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from slotwise.functions.clock import age_within, clock_text, moment, week_day
 from slotwise.operators.reads import live
+from slotwise.plans.lineage import durable
 from slotwise.plans.skew import hot_keys, spread_join
 from slotwise.plans.snapshots import PAIR, journal_snapshot, ticket_snapshot
 from slotwise.sources.clinic import Clinic, read_table, tickets_after, write_table
@@ -170,6 +171,7 @@ def booking_decisions(
         able = firsts.join(noted, PAIR, "left").filter(
             F.col("_status").isNull() | (F.col("_status") != BOOKED)
         )
+        able = durable(able)  # read twice below
         first = able.agg(F.min("seq")).scalar()
         able = able.filter(F.col("_status").isNull() | (F.col("seq") == first))
     winners = able.groupBy("id_ticket").agg(F.min("seq").alias("seq"))
@@ -272,7 +274,8 @@ def booking_log(
         hot_tickets,
         "seq",
     )
-    calls = requests.drop("policies").unionByName(cancels)
+    # The few calls that pass are read several times from here on.
+    calls = durable(requests.drop("policies").unionByName(cancels))
     # A cancel can only succeed for a holder or after a request of the same pair.
     pairs = (
         calls.groupBy(*PAIR)
@@ -281,10 +284,10 @@ def booking_log(
     )
     held = F.coalesce("_held", F.lit(False))
     useful = is_request | held | (F.col("_first") < F.col("seq"))
-    calls = (
+    calls = durable(
         spread_join(calls, pairs, PAIR, hot_pairs, "seq")
         .filter(F.coalesce(useful, F.lit(False)))
-        .withColumn("_held", held)
+        .select("seq", "op", *PAIR, "closed", held.alias("_held"))
     )
     contested = calls.filter(~is_request).select("id_ticket").distinct()
     simple = spread_join(calls, contested, TICKET, hot_tickets, "seq", "left_anti")

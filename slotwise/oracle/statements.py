@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from slotwise.oracle import booking, reads
+from slotwise.oracle import booking, generate, quality, reads
 
 
 def oracle_sql() -> dict[str, str]:
-    return reads.statements() | booking.statements()
+    parts = (reads, booking, quality, generate)
+    return {name: sql for part in parts for name, sql in part.statements().items()}

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key with a smaller share of the rows than this is not split: at most 1 / SHARE keys
-# per key set come to the driver.
+# A key with a smaller share of the rows than this is not split, so at most 1 / SHARE keys
+# per key set come to the driver. The sketch tracks far more keys than that, which keeps its
+# error below a tenth of SHARE: no key above SHARE is missed.
 SHARE = 0.005
+TRACKED = 10000
 SALTS = 32
 
 
@@ -18,16 +20,21 @@ def _hash(keys: Sequence[str]) -> Column:
 
 
 def hot_keys(df: DataFrame, *key_sets: Sequence[str]) -> list[list[int]]:
-    """Per key set the hashes of all keys with at least SHARE of the rows.
+    """Per key set the hashes of the keys that hold about SHARE of the rows or more.
 
-    One pass without a shuffle: the frequent-items aggregate keeps at most 1 / SHARE
-    counters per task. It may return further keys, which only costs a few copies of
-    lookup rows. The list is fixed here, so both sides of a join salt alike.
+    One pass of mergeable sketches, without a shuffle of rows. The list is fixed here, so
+    both sides of a join salt alike.
     """
-    hashes = [_hash(keys).alias(f"h{i}") for i, keys in enumerate(key_sets)]
-    names = [f"h{i}" for i in range(len(key_sets))]
-    (row,) = df.select(*hashes).stat.freqItems(names, SHARE).collect()
-    return [sorted(items or []) for items in row]
+    most = int(1 / SHARE)
+    tops = [
+        F.call_function("approx_top_k", _hash(keys), F.lit(most), F.lit(TRACKED))
+        for keys in key_sets
+    ]
+    total, *found = df.agg(F.count(F.lit(1)), *tops).first()
+    return [
+        sorted(top["item"] for top in items if top["count"] >= SHARE * total)
+        for items in found
+    ]
 
 
 def spread_join(

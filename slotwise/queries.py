@@ -6,9 +6,10 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from slotwise.operators import booking, reads
-from slotwise.sources.clinic import Clinic
+from slotwise.operators import booking, generate, quality, reads
+from slotwise.sources.clinic import Clinic, apply_defaults
 from slotwise.sources.schemas import TABLES
 from slotwise.sources.star import star_clinic
 
@@ -97,8 +98,82 @@ def _bookings() -> dict[str, Query]:
     return found
 
 
+def _checks() -> dict[str, Query]:
+    def nulls_for_zero(c: Clinic) -> DataFrame:
+        return c.tickets.withColumn("closed", F.nullif("closed", F.lit(0)))
+
+    return {
+        "dq_unique": quality.dq_unique,
+        "dq_foreign_key": quality.dq_foreign_key,
+        "dq_not_null": quality.dq_not_null,
+        "dq_domain": quality.dq_domain,
+        "duplicate_order_lines": lambda c: quality.duplicates(
+            c.order_lines, ["l_orderkey", "l_linenumber"]
+        ),
+        "orphan_requests": lambda c: quality.orphans(c.requests, "id_patient", c.users),
+        "apply_defaults_missing_column": lambda c: apply_defaults(
+            c.hospitals.drop("status"), "hospitals"
+        ),
+        "apply_defaults_nulls": lambda c: apply_defaults(nulls_for_zero(c), "tickets"),
+    }
+
+
+def _calendar_days(c: Clinic) -> DataFrame:
+    """The whole calendar of every doctor's speciality, summed up per day."""
+    return (
+        generate.slot_calendar(c.doctor_specialty, NOON)
+        .groupBy("id_doctor_speciality", F.to_date("time_begin").alias("slot_date"))
+        .agg(
+            F.count(F.lit(1)).alias("n_slots"),
+            F.sum("closed").alias("n_closed"),
+            F.min("time_begin").alias("first_begin"),
+            F.max("time_end").alias("last_end"),
+            F.sum("id").alias("id_sum"),
+        )
+    )
+
+
+def _generated(c: Clinic) -> DataFrame:
+    """Rows and a sum of the drawn values of every generated table."""
+    regions = c.organizations.select("id")
+    made = generate.generate_clinic(regions, c.patients.select("id"), NOON)
+    month = "coalesce(month(deleted_at), 0)"
+    minutes = "hour(time_begin) * 60 + minute(time_begin)"
+    values = {
+        "regions": "code",
+        "towns": "id",
+        "organizations": "id",
+        "hospitals": f"{month} + status * 10 + id_type",
+        "hospital_work_times": "id_week_day * 10000 + int(left(begin_time, 2)) * 100 "
+        "+ int(left(end_time, 2))",
+        "doctors": f"{month} + int(right(area, 1)) * 100 + degree + bigint(salary)",
+        "doctors_reviews": "rate",
+        "specialities": f"{month} * 10 + id_age_group",
+        "speciality_gender": "id_gender",
+        "doctor_specialty": "id_doctor",
+        "users": "ascii(email) + ascii(password)",
+        "patients": "year(birthdate) + id_gender + phone % 100000 + ascii(first_name) "
+        "+ int(substr(area, 6))",
+        "patient_documents": "id_document_type + ascii(name)",
+        "tickets": "closed * id + datediff(time_begin, date'1998-06-15') * 10000 + " + minutes,
+        "patient_journals": "id_patient",
+    }
+    return quality.stack(
+        getattr(made, name).agg(
+            F.lit(name).alias("table_name"),
+            F.count(F.lit(1)).alias("n_rows"),
+            F.sum(F.expr(value).cast("long")).alias("value_sum"),
+        )
+        for name, value in values.items()
+    )
+
+
+def _generators() -> dict[str, Query]:
+    return {"slot_calendar": _calendar_days, "generate_clinic": _generated}
+
+
 def registered() -> dict[str, Query]:
-    return _reads() | _bookings()
+    return _reads() | _bookings() | _checks() | _generators()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from slotwise.sources.schemas import TABLES
+
 # Ids, names and age bounds must equal the reference data for right results.
 GENDERS = [
     (1, "мужской"),
@@ -53,7 +55,6 @@ def values_sql(name: str) -> str:
 
 def lookup(spark: SparkSession, name: str) -> DataFrame:
     """A local relation, so its few rows are known to the optimizer."""
-    from slotwise.sources.schemas import TABLES
-
-    rows = spark.sql(values_sql(name))
-    return rows.select(*[rows[f.name].cast(f.dataType) for f in TABLES[name].schema])
+    schema = TABLES[name].schema
+    casts = [f"CAST({f.name} AS {f.dataType.simpleString()}) {f.name}" for f in schema]
+    return spark.sql(values_sql(name)).selectExpr(*casts)

@@ -6,6 +6,8 @@ source row is used. Counts of source tables enter as scalar subqueries.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +39,9 @@ def _slot_start(day: Column, number: Column) -> Column:
 def star_clinic(spark: SparkSession, sf_dir: str) -> Clinic:
     """The clinic of a test data folder, with `requests`, `cancels` and `booking_log`."""
 
+    @cache
     def src(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spark.read.schema(_SOURCES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
     def count_of(name: str) -> Column:
         return src(name).agg(F.count(F.lit(1))).scalar()
@@ -247,12 +250,8 @@ def star_clinic(spark: SparkSession, sf_dir: str) -> Clinic:
 
     def typed(name, build):
         fields = TABLES[name].schema if name in TABLES else _INPUTS[name]
-
-        def table():
-            df = build()
-            return df.select(*[df[f.name].cast(f.dataType) for f in fields])
-
-        return table
+        casts = [f"CAST({f.name} AS {f.dataType.simpleString()}) {f.name}" for f in fields]
+        return lambda: build().selectExpr(*casts)
 
     def requests():
         """Three patients ask for every ticket; holders of a cancelled booking ask again."""
@@ -322,8 +321,21 @@ def star_clinic(spark: SparkSession, sf_dir: str) -> Clinic:
     ]
     builders = {build.__name__: typed(build.__name__, build) for build in tables}
     builders |= {n: (lambda n=n: lookup(spark, n)) for n in LOOKUPS}
+    builders["order_lines"] = lambda: src("lineitem")
     clinic = Clinic(builders)
     return clinic
 
 
+# Declared, so that opening a file needs no job to look at its footer.
+_SOURCES = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_mktsegment STRING",
+    "part": "p_partkey BIGINT, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_linenumber INT, "
+    "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "conversations": "conv_id BIGINT, turn BIGINT, text STRING",
+}
 _INPUTS = {"requests": REQUESTS, "cancels": REQUESTS, "booking_log": LOG}
