@@ -110,4 +110,20 @@ def statements() -> dict[str, str]:
         "patient_journal": "SELECT * FROM patient_journals WHERE id_patient = 4",
         "patient_journal_all": "SELECT * FROM patient_journals",
     }
+    sorts = ", h.id_type = 1 AS sort_1, -count(d.id) AS sort_2, t.end_time AS sort_3"
+    plain |= {
+        "sql_towns_by_region": plain["towns_by_region"],
+        "sql_specialities_with_doctors": plain["specialities_with_doctors_literal_age_group"],
+        "sql_hospitals_by_speciality": _hospitals_literal("", sorts),
+        "sql_hospitals_by_speciality_filtered": _hospitals_literal(
+            "AND s.id = 5 AND h.status = 1", sorts
+        ),
+        "sql_doctors_by_hospital": """
+            SELECT *, -degree AS sort_1, area = 'area 2' AS sort_2
+            FROM doctors WHERE deleted_at IS NULL""",
+        "sql_tickets_by_doctor": plain["tickets_by_doctor"],
+        "sql_documents_by_patient": plain["documents_by_patient_literal"],
+        "sql_hospital_work_time": plain["hospital_work_time"],
+        "sql_patient_journal": plain["patient_journal_all"],
+    }
     return {name: with_tables(sql) for name, sql in plain.items()}

@@ -12,6 +12,7 @@ from slotwise.operators import booking, generate, quality, reads
 from slotwise.sources.clinic import Clinic, apply_defaults
 from slotwise.sources.schemas import TABLES
 from slotwise.sources.star import star_clinic
+from slotwise.sql_api import register
 
 NOON = dt.datetime(1998, 6, 15, 14, 30)  # a Monday; bookings, cancels and tickets
 EVENING = dt.datetime(1998, 6, 15, 16, 30)  # opening hours
@@ -176,8 +177,33 @@ def registered() -> dict[str, Query]:
     return _reads() | _bookings() | _checks() | _generators()
 
 
+_NOON = "timestamp_ntz'1998-06-15 14:30:00'"
+_EVENING = "timestamp_ntz'1998-06-15 16:30:00'"
+SQL_CALLS = {
+    "sql_towns_by_region": "get_towns_by_region(1)",
+    "sql_specialities_with_doctors": "get_doctors_by_specialty(p_age_group => 1)",
+    "sql_hospitals_by_speciality": f"get_hospitals_by_speciality(as_of => {_EVENING})",
+    "sql_hospitals_by_speciality_filtered": f"get_hospitals_by_speciality(5, 1, {_EVENING})",
+    "sql_doctors_by_hospital": "get_doctors_by_hospital(p_area => 'area 2')",
+    "sql_tickets_by_doctor": f"get_tickets_by_doctor(1, {_NOON})",
+    "sql_documents_by_patient": "get_documents_by_patient(p_id_patient => 4)",
+    "sql_hospital_work_time": "get_hospitals_work_time(p_id_hospital => 1)",
+    "sql_patient_journal": "get_patient_journald_by_patient_id()",
+}
+
+
+def _by_sql(call: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = spark.newSession()  # its views and functions stay apart from the caller's
+        register(own, star_clinic(own, sf_dir))
+        return own.sql(f"SELECT * FROM {call}")
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def on_star(query: Query):
         return lambda spark, sf_dir: query(star_clinic(spark, sf_dir))
 
-    return {name: on_star(query) for name, query in registered().items()}
+    found = {name: on_star(query) for name, query in registered().items()}
+    return found | {name: _by_sql(call) for name, call in SQL_CALLS.items()}
