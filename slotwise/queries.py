@@ -122,7 +122,7 @@ def _checks() -> dict[str, Query]:
 def _calendar_days(c: Clinic) -> DataFrame:
     """The whole calendar of every doctor's speciality, summed up per day."""
     return (
-        generate.slot_calendar(c.doctor_specialty, NOON)
+        generate.slot_calendar(c.doctor_specialty, NOON, first_link=0)
         .groupBy("id_doctor_speciality", F.to_date("time_begin").alias("slot_date"))
         .agg(
             F.count(F.lit(1)).alias("n_slots"),
@@ -136,8 +136,9 @@ def _calendar_days(c: Clinic) -> DataFrame:
 
 def _generated(c: Clinic) -> DataFrame:
     """Rows and a sum of the drawn values of every generated table."""
-    regions = c.organizations.select("id")
-    made = generate.generate_clinic(regions, c.patients.select("id"), NOON)
+    from_one = (F.col("id") + 1).alias("id")
+    regions, users = c.organizations.select(from_one), c.patients.select(from_one)
+    made = generate.generate_clinic(regions, users, NOON)
     month = "coalesce(month(deleted_at), 0)"
     minutes = "hour(time_begin) * 60 + minute(time_begin)"
     values = {

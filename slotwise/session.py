@@ -7,9 +7,10 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | None = None) -> SparkSession:
+def local_session(cpus: int | None = None, **settings: str) -> SparkSession:
+    """`settings` are further options, with "__" in place of the dots of their names."""
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("slotwise")
         .config("spark.sql.shuffle.partitions", str(cpus))
@@ -20,7 +21,9 @@ def local_session(cpus: int | None = None) -> SparkSession:
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for name, value in settings.items():
+        builder = builder.config(name.replace("__", "."), value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

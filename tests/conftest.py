@@ -15,8 +15,9 @@ from slotwise.sources.schemas import TABLES  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session(4)
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
+    return local_session(4, spark__checkpoint__dir=shared)
 
 
 @pytest.fixture(scope="session")
