@@ -15,12 +15,13 @@ import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotwise.functions.clock import age_within, clock_text, moment, week_day
+from slotwise.functions.clock import age_within, clock_text, week_day
 from slotwise.operators.reads import live
 from slotwise.plans.lineage import durable
+from slotwise.plans.ranking import ID_RANGE, count_before
 from slotwise.plans.skew import hot_keys, spread_join
 from slotwise.plans.snapshots import PAIR, journal_snapshot, ticket_snapshot
 from slotwise.sources.clinic import Clinic, read_table, tickets_after, write_table
@@ -33,8 +34,7 @@ PATIENT = ["id_patient"]
 
 
 def _tickets_ahead(clinic: Clinic, as_of: dt.datetime) -> DataFrame:
-    tickets = tickets_after(clinic.tickets, as_of.date())
-    return tickets.filter(F.col("time_begin") > moment(as_of)).select(
+    return tickets_after(clinic.tickets, as_of).select(
         F.col("id").alias("id_ticket"), "id_doctor_speciality", "closed"
     )
 
@@ -259,51 +259,80 @@ def booking_log(
 
     Whether patient and ticket fit does not change during a batch and is decided by joins
     first. What is left depends on the earlier calls for the same ticket only. A ticket
-    without a cancel that could succeed goes to its first free request, an aggregate. Just
-    the tickets with both are folded call by call.
+    without a cancel that could succeed goes to its first free request, an aggregate. For
+    the others, calls that cannot succeed whatever happened before are taken out by
+    aggregates, and the rest is followed call by call.
     """
     hot_tickets, hot_patients, hot_pairs = hot_keys(log, TICKET, PATIENT, PAIR)
-    is_request = F.col("op") == "request"
+    is_request, is_cancel = F.col("op") == "request", F.col("op") == "cancel"
     ahead = _tickets_ahead(clinic, as_of)
     asked = log.filter(is_request)
     requests = _fitting(clinic, asked, ahead, as_of, hot_tickets, hot_patients)
-    cancels = spread_join(
-        log.filter(F.col("op") == "cancel"),
-        _cancellable(clinic, as_of, week_start).select("id_ticket", "closed"),
-        TICKET,
-        hot_tickets,
-        "seq",
-    )
+    open_tickets = _cancellable(clinic, as_of, week_start).select("id_ticket", "closed")
+    cancels = spread_join(log.filter(is_cancel), open_tickets, TICKET, hot_tickets, "seq")
     # The few calls that pass are read several times from here on.
     calls = durable(requests.drop("policies").unionByName(cancels))
-    # A cancel can only succeed for a holder or after a request of the same pair.
+
+    # A cancel needs a booking: one from before the batch or an earlier request. Right after
+    # another cancel of the pair it cannot succeed; that is looked up within a range of call
+    # numbers, which takes out all but one of a long row of them.
     pairs = (
         calls.groupBy(*PAIR)
-        .agg(F.min(F.when(is_request, F.col("seq"))).alias("_first"))
+        .agg(F.min(F.when(is_request, F.col("seq"))).alias("_asked"))
         .join(_booked(clinic).withColumn("_held", F.lit(True)), PAIR, "left")
+        .select(*PAIR, "_asked", F.coalesce("_held", F.lit(False)).alias("_held"))
+        .filter(F.col("_held") | F.col("_asked").isNotNull())
     )
-    held = F.coalesce("_held", F.lit(False))
-    useful = is_request | held | (F.col("_first") < F.col("seq"))
+    nearby = Window.partitionBy(*PAIR, F.floor(F.col("seq") / ID_RANGE)).orderBy("seq")
     calls = durable(
         spread_join(calls, pairs, PAIR, hot_pairs, "seq")
-        .filter(F.coalesce(useful, F.lit(False)))
-        .select("seq", "op", *PAIR, "closed", held.alias("_held"))
+        .filter(is_request | F.col("_held") | (F.col("_asked") < F.col("seq")))
+        .withColumn("_previous", F.lag("op").over(nearby))
+        .filter(is_request | (F.coalesce("_previous", F.lit("")) != "cancel"))
+        .withColumn("_new", ~F.col("_held") & F.equal_null("_asked", "seq"))
+        .select("seq", "op", *PAIR, "closed", "_held", "_new")
     )
-    contested = calls.filter(~is_request).select("id_ticket").distinct()
-    simple = spread_join(calls, contested, TICKET, hot_tickets, "seq", "left_anti")
+    cancels, requests = calls.filter(is_cancel), calls.filter(is_request)
+    contested = cancels.select("id_ticket").distinct()
     winners = (
-        simple.filter((F.col("closed") == 0) & ~F.col("_held"))
+        spread_join(requests, contested, TICKET, hot_tickets, "seq", "left_anti")
+        .filter((F.col("closed") == 0) & ~F.col("_held"))
         .groupBy("id_ticket")
         .agg(F.min("seq").alias("seq"))
     )
-    folded = _fold(
-        spread_join(calls, contested, TICKET, hot_tickets, "seq", "left_semi"),
-        _booked(clinic).join(contested, TICKET, "left_semi"),
+
+    # Between two useful cancels at most one request is accepted, at the latest the first
+    # one of a patient who never had or asked for the ticket before.
+    disputed = spread_join(requests, contested, TICKET, hot_tickets, "seq", "left_semi")
+    both = disputed.unionByName(cancels)
+    rounds = durable(
+        count_before(both, is_cancel, TICKET, "seq", "_round")
+        .filter(is_request)
+        .select(*PAIR, "seq", "closed", "_new", "_round")
     )
-    return _with_accepted(log, winners.select("seq").unionByName(folded))
+    a_round = [*TICKET, "_round"]
+    newcomers = _first_requests(rounds.filter("_new"), a_round)
+    repeats = _first_requests(rounds.filter("NOT _new"), [*a_round, "id_patient"])
+    limits = newcomers.select(*a_round, F.col("seq").alias("_limit"))
+    repeats = spread_join(
+        repeats, limits, a_round, hot_tickets, "seq", "left", hot_on=TICKET
+    ).filter(F.col("_limit").isNull() | (F.col("seq") < F.col("_limit")))
+
+    chosen = [df.select(*PAIR, "seq", "closed", "op") for df in (cancels, newcomers, repeats)]
+    holders = _booked(clinic).join(contested, TICKET, "left_semi")
+    followed = _follow(chosen[0].unionByName(chosen[1]).unionByName(chosen[2]), holders)
+    return _with_accepted(log, winners.select("seq").unionByName(followed))
+
+
+def _first_requests(requests: DataFrame, by: list[str]) -> DataFrame:
+    """The first request of each group; numbers only, so a hash aggregate combines them."""
+    rest = [c for c in (*PAIR, "closed") if c not in by]
+    firsts = [F.min_by(c, "seq").alias(c) for c in rest]
+    found = requests.groupBy(*by).agg(F.min("seq").alias("seq"), *firsts)
+    return found.withColumn("op", F.lit("request"))
 
 
-def _fold(calls: DataFrame, holders: DataFrame) -> DataFrame:
+def _follow(calls: DataFrame, holders: DataFrame) -> DataFrame:
     """Accepted `seq` of the contested tickets.
 
     Rows stream through in the order of ticket and call; only the current ticket's flag and
@@ -316,35 +345,40 @@ def _fold(calls: DataFrame, holders: DataFrame) -> DataFrame:
         F.lit(0).alias("closed"),
         F.lit("hold").alias("op"),
     )
-    rows = calls.select(*PAIR, "seq", "closed", "op").unionByName(before)
-    ordered = rows.repartition("id_ticket").sortWithinPartitions(
-        "id_ticket", F.col("op") != "hold", "seq"
+    ordered = (
+        calls.unionByName(before)
+        .repartition("id_ticket")
+        .sortWithinPartitions("id_ticket", F.col("op") != "hold", "seq")
     )
-    return ordered.mapInPandas(_accepted_calls, "seq long")
-
-
-def _accepted_calls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    ticket, closed, holders = None, None, set()
-    for batch in batches:
-        accepted = []
-        columns = ("id_ticket", "id_patient", "seq", "closed", "op")
-        for t, patient, seq, was_closed, op in zip(*(batch[c] for c in columns)):
-            if t != ticket:
-                ticket, closed, holders = t, None, set()
-            if op == "hold":
-                holders.add(patient)
-                continue
-            if closed is None:
-                closed = bool(was_closed)
-            if op == "request" and not closed and patient not in holders:
-                holders.add(patient)
-                closed = True
-                accepted.append(seq)
-            elif op == "cancel" and patient in holders:
-                holders.discard(patient)
-                closed = False
-                accepted.append(seq)
-        yield pd.DataFrame({"seq": pd.Series(accepted, dtype="int64")})
+    return ordered.mapInPandas(_follower(), "seq long")
+
+
+def _follower():
+    # An inner function travels to the workers by value, so they need not have this package.
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ticket, closed, holders = None, None, set()
+        for batch in batches:
+            accepted = []
+            columns = ("id_ticket", "id_patient", "seq", "closed", "op")
+            for t, patient, seq, was_closed, op in zip(*(batch[c] for c in columns)):
+                if t != ticket:
+                    ticket, closed, holders = t, None, set()
+                if op == "hold":
+                    holders.add(patient)
+                    continue
+                if closed is None:
+                    closed = bool(was_closed)
+                if op == "request" and not closed and patient not in holders:
+                    holders.add(patient)
+                    closed = True
+                    accepted.append(seq)
+                elif op == "cancel" and patient in holders:
+                    holders.discard(patient)
+                    closed = False
+                    accepted.append(seq)
+            yield pd.DataFrame({"seq": pd.Series(accepted, dtype="int64")})
+
+    return follow
 
 
 def journal_after_log(clinic: Clinic, decisions: DataFrame) -> DataFrame:

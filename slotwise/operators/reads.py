@@ -14,7 +14,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.functions.clock import clock_text, moment, week_day
+from slotwise.functions.clock import clock_text, week_day
 from slotwise.functions.text import blank_to_none
 from slotwise.plans.ranking import with_position
 from slotwise.sources.clinic import Clinic, tickets_after
@@ -220,8 +220,7 @@ def tickets_by_doctor(
     clinic: Clinic, as_of: dt.datetime, id_doctor: int | None = None
 ) -> DataFrame:
     """Tickets of a doctor, open or closed, that begin after now."""
-    tickets = tickets_after(clinic.tickets, as_of.date())
-    ahead = tickets.filter(F.col("time_begin") > moment(as_of))
+    ahead = tickets_after(clinic.tickets, as_of)
     if id_doctor is None:
         return ahead
     links = _only(clinic.doctor_specialty, id_doctor=id_doctor)

@@ -1,4 +1,4 @@
-"""Positions in a sorted result without sorting a whole group in one task."""
+"""Positions and running counts without sorting a whole group in one task."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # Rows of one bucket share their sort keys and a range of this many tie-breaking ids, so a
 # bucket never holds more rows than this times the rows per id.
 ID_RANGE = 65536
+BEFORE = (Window.unboundedPreceding, -1)
 
 
 def with_position(
@@ -30,7 +31,7 @@ def with_position(
     running totals over the distinct keys. The last two work on counts that are combined
     before the shuffle, so a group that holds a third of all rows stays spread out.
     """
-    before = (Window.unboundedPreceding, -1)
+    before = BEFORE
     same = [*within, *keys]
     bucketed = df.withColumn("_bucket", F.floor(F.col(tie) / ID_RANGE))
     buckets = bucketed.groupBy(*same, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -56,3 +57,28 @@ def with_position(
     return rows.join(starts, [*same, "_bucket"]).select(
         *df.columns, (F.col("_start") + F.col("_row")).alias(name)
     )
+
+
+def count_before(
+    df: DataFrame, flag: Column, by: Sequence[str], order: str, name: str
+) -> DataFrame:
+    """Add how many rows of the same `by` have `flag` and a smaller `order`.
+
+    `order` holds call numbers, unique whole numbers. The count is the running total over
+    ranges of ID_RANGE numbers, summed from counts, plus the one inside the range.
+    """
+    by = list(by)
+    hit = F.when(flag, 1).otherwise(0)
+    ranged = df.withColumn("_range", F.floor(F.col(order) / ID_RANGE)).withColumn("_hit", hit)
+    totals = ranged.groupBy(*by, "_range").agg(F.sum("_hit").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(*BEFORE))
+    totals = totals.select(*by, "_range", earlier.alias("_earlier"))
+    inside = F.sum("_hit").over(
+        Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(*BEFORE)
+    )
+    total = F.coalesce("_earlier", F.lit(0)) + F.coalesce("_inside", F.lit(0))
+    return (
+        ranged.withColumn("_inside", inside)
+        .join(totals, [*by, "_range"])
+        .select(*df.columns, total.alias(name))
+    )

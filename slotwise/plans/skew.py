@@ -44,17 +44,19 @@ def spread_join(
     hot: Sequence[int],
     spread_by: str,
     how: str = "inner",
+    hot_on: Sequence[str] | None = None,
 ) -> DataFrame:
     """Equi-join on `keys`, with each hot key of `facts` spread over SALTS tasks.
 
     Rows of a hot key get a salt from `spread_by`; the one lookup row of that key is copied
     for every salt. All other keys have salt 0. `how` keeps facts on the left: "inner",
-    "left", "left_semi" or "left_anti".
+    "left", "left_semi" or "left_anti". `hot` holds hashes of the columns `hot_on`, by
+    default of all `keys`.
     """
     keys = list(keys)
     if not hot:
         return facts.join(lookup, keys, how)
-    is_hot = _hash(keys).isin(*hot)
+    is_hot = _hash(hot_on or keys).isin(*hot)
     salt = F.when(is_hot, F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1)))
     salted = facts.withColumn("_salt", F.coalesce(salt, F.lit(0)))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slotwise.functions.clock import moment
 from slotwise.functions.text import blank_to_null
 from slotwise.sources.schemas import TABLES
 
-SLOT_DATE = "slot_date"
+SLOT_MONTH = "slot_month"
+WRITERS = 4
 
 
 class Clinic:
@@ -47,30 +51,39 @@ class Clinic:
         return cls({name: reader(name) for name in TABLES})
 
     def write(self, root: str) -> None:
-        """Store every table as Parquet below `root`, which must be new."""
-        for name in TABLES:
-            if name in self._tables:
-                write_table(getattr(self, name), name, f"{root}/{name}")
+        """Store every table as Parquet below `root`, which must be new.
+
+        The tables are written side by side, since most are too small to keep a cluster busy.
+        """
+        frames = {name: getattr(self, name) for name in TABLES if name in self._tables}
+        with ThreadPoolExecutor(WRITERS) as pool:
+            jobs = [
+                pool.submit(write_table, df, name, f"{root}/{name}")
+                for name, df in frames.items()
+            ]
+        for job in jobs:
+            job.result()
 
 
 def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     schema = TABLES[name].schema
     if name == "tickets":
-        schema = type(schema)(list(schema)).add(SLOT_DATE, "date")
+        schema = type(schema)(list(schema)).add(SLOT_MONTH, "date")
     return spark.read.schema(schema).parquet(path)
 
 
 def write_table(df: DataFrame, name: str, path: str) -> None:
-    """Tickets are laid out by day, so that a time filter skips whole folders.
+    """Tickets are laid out by month, so that a time filter skips the past by folder.
 
-    The rebalance hint merges small days and splits a day that holds too many rows.
+    The rebalance hint gathers the rows of a month into files of the advisory size: small
+    months share no task needlessly and a month that holds most rows is split.
     """
     df = conform(df, name)
     if name != "tickets":
         df.write.parquet(path)
         return
-    dated = df.withColumn(SLOT_DATE, F.to_date("time_begin"))
-    dated.hint("rebalance", F.col(SLOT_DATE)).write.partitionBy(SLOT_DATE).parquet(path)
+    dated = df.withColumn(SLOT_MONTH, F.trunc("time_begin", "month"))
+    dated.hint("rebalance", F.col(SLOT_MONTH)).write.partitionBy(SLOT_MONTH).parquet(path)
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
@@ -100,8 +113,9 @@ def apply_defaults(df: DataFrame, name: str) -> DataFrame:
     return conform(df.fillna(defaults) if defaults else df, name)
 
 
-def tickets_after(tickets: DataFrame, as_of_date) -> DataFrame:
-    """Day folders from `as_of_date` on, where tickets are stored by day."""
-    if SLOT_DATE not in tickets.columns:
-        return tickets
-    return tickets.filter(F.col(SLOT_DATE) >= F.lit(as_of_date)).drop(SLOT_DATE)
+def tickets_after(tickets: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Tickets that begin after `as_of`; stored tickets leave out the folders before."""
+    if SLOT_MONTH in tickets.columns:
+        month = as_of.date().replace(day=1)
+        tickets = tickets.filter(F.col(SLOT_MONTH) >= F.lit(month)).drop(SLOT_MONTH)
+    return tickets.filter(F.col("time_begin") > moment(as_of))

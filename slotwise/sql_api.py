@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from slotwise.operators import reads
-from slotwise.sources.clinic import SLOT_DATE, Clinic
+from slotwise.sources.clinic import SLOT_MONTH, Clinic
 from slotwise.sources.schemas import TABLES
 
 _CLOCK = "as_of TIMESTAMP_NTZ DEFAULT localtimestamp()"
@@ -98,7 +98,7 @@ def register(spark: SparkSession, clinic: Clinic) -> list[str]:
     """Temporary views of all tables and the functions over them; returns their names."""
     for name in TABLES:
         if name in clinic.names():
-            getattr(clinic, name).drop(SLOT_DATE).createOrReplaceTempView(name)
+            getattr(clinic, name).drop(SLOT_MONTH).createOrReplaceTempView(name)
     hospitals = reads.live(clinic.hospitals)
     hospitals.withColumn("id_hospital", hospitals["id"]).createOrReplaceTempView(
         "live_hospitals"

@@ -41,11 +41,11 @@ def test_round_trip(stored):
         assert before.exceptAll(after.select(columns)).isEmpty(), name
 
 
-def test_stored_tickets_skip_past_days(stored):
+def test_stored_tickets_skip_past_months(stored):
     _, clinic = stored
     later = dt.datetime(2024, 5, 16, 10, 10)
     df = reads.tickets_by_doctor(clinic, later)
-    assert "PartitionFilters: [isnotnull(slot_date" in plan_of(df)
+    assert "PartitionFilters: [isnotnull(slot_month" in plan_of(df)
     assert df.columns == ["id", "id_doctor_speciality", "closed", "time_begin", "time_end"]
     assert df.count() == 600 * (2 + 3)
     assert df.agg(F.min("time_begin")).first()[0] == dt.datetime(2024, 5, 16, 10, 30)
@@ -178,3 +178,16 @@ def test_durable_uses_the_configured_folder(spark):
     kept = durable(spark.range(10))
     assert kept.count() == 10
     assert shared_folder(spark) == shared and shared in kept.inputFiles()[0]
+
+
+def test_count_before_equals_one_window(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "ID_RANGE", 16)
+    df = spark.range(1500).select(
+        (F.col("id") * 7 % 1511).alias("seq"),
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 9).alias("g"),
+    )
+    flag = F.col("seq") % 5 < 2
+    window = Window.partitionBy("g").orderBy("seq").rowsBetween(*ranking.BEFORE)
+    wanted = df.withColumn("n", F.coalesce(F.count_if(flag).over(window), F.lit(0)))
+    counted = ranking.count_before(df, flag, ["g"], "seq", "n")
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, wanted.collect()))
