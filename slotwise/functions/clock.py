@@ -35,3 +35,28 @@ def age_within(birthdate: Column, begin: Column, end: Column, as_of: dt.datetime
     reached = add_months(birthdate, begin * 12).cast("timestamp_ntz") <= now
     passed = add_months(birthdate, end * 12).cast("timestamp_ntz") <= now
     return reached & ~passed
+
+
+def clock_text_of(stamp: Column) -> Column:
+    """`HH:MM` of a timestamp column."""
+    return F.date_format(stamp, "HH:mm")
+
+
+def week_day_of(stamp: Column, week_start: int = 1) -> Column:
+    """Day number 1-7 of a timestamp column, as `week_day`."""
+    return F.pmod(F.weekday(stamp) + 1 - week_start, F.lit(7)) + 1
+
+
+def day_text_of(stamp: Column) -> Column:
+    return F.date_format(stamp, "yyyy.MM.dd")
+
+
+def parse_day(text: Column) -> Column:
+    """Date of `year.month.day`, where the month may have one digit or two."""
+    return F.to_date(text, "yyyy.M.dd")
+
+
+def later(stamp: Column, days: int = 0, hours: int = 0, minutes: int = 0) -> Column:
+    """Exact calendar arithmetic in place of fractions of a day."""
+    span = F.make_dt_interval(F.lit(days), F.lit(hours), F.lit(minutes))
+    return stamp + span

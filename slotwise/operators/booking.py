@@ -59,12 +59,14 @@ def _slots(clinic: Clinic, tickets: DataFrame) -> DataFrame:
         .join(ages, "id_age_group")
         .join(genders, "id_speciality")
     )
-    links = (
-        clinic.doctor_specialty.withColumnRenamed("id", "id_doctor_speciality")
-        .join(doctors.select(F.col("id").alias("id_doctor")), "id_doctor", "left_semi")
-        .join(specialities, "id_speciality")
-        .select("id_doctor_speciality", "age_begin", "age_end", "genders")
+    links = clinic.doctor_specialty.withColumnRenamed("id", "id_doctor_speciality").join(
+        doctors.select(F.col("id").alias("id_doctor")), "id_doctor", "left_semi"
     )
+    # One speciality may be that of very many doctors.
+    speciality = ["id_speciality"]
+    (hot,) = hot_keys(clinic.doctor_specialty, speciality)
+    links = spread_join(links, specialities, speciality, hot, "id_doctor_speciality")
+    links = links.select("id_doctor_speciality", "age_begin", "age_end", "genders")
     return tickets.join(links, "id_doctor_speciality").drop("id_doctor_speciality")
 
 

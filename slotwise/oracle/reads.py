@@ -110,6 +110,17 @@ def statements() -> dict[str, str]:
         "patient_journal": "SELECT * FROM patient_journals WHERE id_patient = 4",
         "patient_journal_all": "SELECT * FROM patient_journals",
     }
+    plain["scalar_functions"] = """
+        SELECT id, strftime(time_begin, '%H:%M') AS clock_text,
+               CAST(isodow(time_begin) AS INTEGER) AS day_from_monday,
+               CAST(dayofweek(time_begin) + 1 AS INTEGER) AS day_from_sunday,
+               strftime(time_begin, '%Y.%m.%d') AS day_text,
+               CAST(date_trunc('month', time_begin) AS DATE) AS month_begin,
+               time_begin + INTERVAL 2 HOUR AS two_hours_later,
+               CAST(CASE WHEN day = last_day(day) THEN last_day(day + INTERVAL 18 MONTH)
+                         ELSE day + INTERVAL 18 MONTH END AS DATE) AS months_later,
+               'ticket ' || id || CASE WHEN closed = 1 THEN ' closed' ELSE '' END AS label
+        FROM (SELECT *, CAST(time_begin AS DATE) AS day FROM tickets)"""
     sorts = ", h.id_type = 1 AS sort_1, -count(d.id) AS sort_2, t.end_time AS sort_3"
     plain |= {
         "sql_towns_by_region": plain["towns_by_region"],

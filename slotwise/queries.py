@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slotwise.functions import clock
+from slotwise.functions.text import glue
 from slotwise.operators import booking, generate, quality, reads
 from slotwise.sources.clinic import Clinic, apply_defaults
 from slotwise.sources.schemas import TABLES
@@ -119,6 +121,23 @@ def _checks() -> dict[str, Query]:
     }
 
 
+def _scalars(c: Clinic) -> DataFrame:
+    """The scalar functions on every ticket."""
+    begin, day = F.col("time_begin"), F.to_date("time_begin")
+    first = glue(F.year(begin), ".", F.month(begin), ".01")
+    return c.tickets.select(
+        "id",
+        clock.clock_text_of(begin).alias("clock_text"),
+        clock.week_day_of(begin).cast("int").alias("day_from_monday"),
+        clock.week_day_of(begin, 7).cast("int").alias("day_from_sunday"),
+        clock.day_text_of(begin).alias("day_text"),
+        clock.parse_day(first).alias("month_begin"),
+        clock.later(begin, hours=2).alias("two_hours_later"),
+        clock.add_months(day, F.lit(18)).alias("months_later"),
+        glue("ticket ", F.col("id"), F.when(F.col("closed") == 1, " closed")).alias("label"),
+    )
+
+
 def _calendar_days(c: Clinic) -> DataFrame:
     """The whole calendar of every doctor's speciality, summed up per day."""
     return (
@@ -171,7 +190,11 @@ def _generated(c: Clinic) -> DataFrame:
 
 
 def _generators() -> dict[str, Query]:
-    return {"slot_calendar": _calendar_days, "generate_clinic": _generated}
+    return {
+        "scalar_functions": _scalars,
+        "slot_calendar": _calendar_days,
+        "generate_clinic": _generated,
+    }
 
 
 def registered() -> dict[str, Query]:

@@ -48,3 +48,25 @@ def test_draw_is_repeatable_and_even(spark):
     word = letters(F.lit(7), 50, 8)
     first, second = spark.range(2).select(word).collect()
     assert first == second and len(first[0]) == 8 and first[0].isalpha()
+
+
+def test_clock_columns_agree_with_constants(spark):
+    moments = [dt.datetime(2024, 5, 12, 0, 5), dt.datetime(2024, 2, 29, 22, 30)]
+    df = spark.createDataFrame([(m,) for m in moments], "t timestamp_ntz")
+    t = F.col("t")
+    found = df.select(
+        "t",
+        clock.clock_text_of(t),
+        clock.week_day_of(t),
+        clock.week_day_of(t, 7),
+        clock.later(t, hours=2),
+        clock.later(t, days=1, minutes=30),
+    ).collect()
+    for m, text_, monday, sunday, two_hours, next_day in found:
+        assert text_ == clock.clock_text(m)
+        assert monday == clock.week_day(m) and sunday == clock.week_day(m, 7)
+        assert two_hours == m + dt.timedelta(hours=2)
+        assert next_day == m + dt.timedelta(days=1, minutes=30)
+    days = spark.createDataFrame([("2019.1.01",), ("2019.11.01",)], "x string")
+    parsed = [r[0] for r in days.select(clock.parse_day(F.col("x"))).collect()]
+    assert parsed == [dt.date(2019, 1, 1), dt.date(2019, 11, 1)]
