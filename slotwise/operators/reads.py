@@ -110,8 +110,11 @@ def hospitals_by_speciality(
         .groupBy("id_hospital")
         .agg(F.sum("links").alias("links"))
     )
+    # A hospital has at most seven rows; spread by hospital they group and join in one shuffle.
     hours = (
         clinic.hospital_work_times.filter(F.col("end_time") > clock_text(as_of))
+        .select("id_hospital", "end_time")
+        .repartition("id_hospital")
         .groupBy("id_hospital", "end_time")
         .agg(F.count(F.lit(1)).alias("days"))
     )
