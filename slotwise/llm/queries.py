@@ -8,12 +8,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, secrets, statements, token_counts
-from .common import scratch, table
+from . import (
+    decontamination,
+    languages,
+    packing,
+    personal_data,
+    secrets,
+    statements,
+    token_counts,
+    toxicity,
+)
+from .common import is_held_out, scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", toxicity.toxicity(docs, model).alias("score"))
+    high = (F.col("score") >= 0.3).cast("int")
+    return scored.select("doc_id", is_held_out().alias("held_out"), "score", high.alias("predicted"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontamination.contamination(docs, items)
@@ -37,11 +54,23 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", over.alias("over_limit"))
 
 
+def op4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = languages.language(docs, languages.learn(docs))
+    named = docs.select("doc_id", "text").select("doc_id", found.alias("found"))
+    return named.select("doc_id", is_held_out().alias("held_out"), "found.*")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", personal_data.personal_data(docs).alias("found")).select("doc_id", "found.*")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.find_secrets(docs)
@@ -62,9 +91,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_decontamination": op2_decontamination,
         "op3_token_counts": op3_token_counts,
+        "op4_languages": op4_languages,
         "op6_packing": op6_packing,
+        "op7_personal_data": op7_personal_data,
         "op8_secrets": op8_secrets,
     }
 
