@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,13 +56,6 @@ def slices(texts: pd.Series, chars: int = 2_000_000) -> Iterator[list[str]]:
         yield part
 
 
-def run_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums of consecutive runs of rows; an empty run gives 0."""
-    ends = np.cumsum(counts)
-    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0)])
-    return total[ends] - total[ends - counts]
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

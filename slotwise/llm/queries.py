@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from . import (
     decontamination,
+    embeddings,
     languages,
     packing,
+    passages,
     personal_data,
     secrets,
+    set_join,
     statements,
     token_counts,
     toxicity,
@@ -61,6 +64,10 @@ def op4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", is_held_out().alias("held_out"), "found.*")
 
 
+def op5_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -89,15 +96,27 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select("*", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_decontamination": op2_decontamination,
         "op3_token_counts": op3_token_counts,
         "op4_languages": op4_languages,
+        "op5_set_join": op5_set_join,
         "op6_packing": op6_packing,
         "op7_personal_data": op7_personal_data,
         "op8_secrets": op8_secrets,
+        "op9_embeddings": op9_embeddings,
+        "op10_passages": op10_passages,
     }
 
 

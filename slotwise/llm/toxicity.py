@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fold, run_sums, slices
+from .common import bounded_batches, fold, slices, stored
 
 SAMPLE = 20_000  # labelled documents to learn from, at most
 BUCKETS = 1 << 20  # terms are hashed to so many numbers
@@ -66,11 +66,13 @@ class Machine:
     factors: np.ndarray
 
     def margins(self, columns: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        factors = self.factors[columns]
-        both = run_sums(factors, counts)
-        own = run_sums(factors**2, counts)
-        linear = run_sums(self.weights[columns], counts)
-        return self.bias + linear + 0.5 * (both**2 - own).sum(axis=1)
+        of_row = np.repeat(np.arange(len(counts)), counts)
+        total = self.bias + np.bincount(of_row, self.weights[columns], len(counts))
+        for f in range(FACTORS):  # one by one, which bounds the memory
+            v = self.factors[columns, f]
+            both, own = (np.bincount(of_row, x, len(counts)) for x in (v, v**2))
+            total += 0.5 * (both**2 - own)
+        return total
 
     def scores(self, rows: list[np.ndarray]) -> np.ndarray:
         counts = np.array([len(r) for r in rows], dtype=np.int64)
@@ -78,37 +80,43 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margins(columns, counts), -30, 30)))
 
 
-def choose(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Column of each hash number: the CHOSEN ones of clearest log odds, 0, 1, ...; else -1."""
+def choose(rows: DataFrame) -> np.ndarray:
+    """Column of each hash number: the CHOSEN ones of clearest log odds, 0, 1, ...; else -1.
+
+    `rows` has toxic (0 or 1) and terms (distinct hash numbers). Counts are made in Spark;
+    only the chosen numbers come to the driver.
+    """
+    totals = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("n1"), F.count(F.lit(1)).alias("n")).first()
+    n1, n0 = max(1, totals["n1"]), max(1, totals["n"] - totals["n1"])
+    one = F.col("one") + 0.5
+    zero = F.col("n") - F.col("one") + 0.5
+    odds = F.log(one / (n1 + 1 - one)) - F.log(zero / (n0 + 1 - zero))
+    counts = (
+        rows.select("toxic", F.explode("terms").alias("term"))
+        .groupBy("term")
+        .agg(F.sum("toxic").alias("one"), F.count(F.lit(1)).alias("n"))
+        .filter("n >= 4")
+        .select("term", F.round(F.abs(odds) / F.sqrt(1 / one + 1 / zero), 6).alias("clear"))
+    )
+    best = counts.filter("clear > 2").orderBy(F.desc("clear"), "term").limit(CHOSEN).collect()
     column = np.full(BUCKETS, -1, dtype=np.int32)
-    n1, n0 = max(1.0, float(labels.sum())), max(1.0, float((1 - labels).sum()))
-    with_1, with_0 = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for row, label in zip(rows, labels, strict=True):
-        (with_1 if label else with_0)[row] += 1
-    odds = np.log((with_1 + 0.5) / (n1 - with_1 + 0.5)) - np.log((with_0 + 0.5) / (n0 - with_0 + 0.5))
-    error = 1 / (with_1 + 0.5) + 1 / (with_0 + 0.5)
-    clear = np.where(with_1 + with_0 >= 4, np.abs(odds) / np.sqrt(error), 0)
-    best = np.argsort(-clear, kind="stable")[:CHOSEN]
-    best = best[clear[best] > 2]
-    column[best] = np.arange(len(best))
+    column[sorted(r["term"] for r in best)] = np.arange(len(best))
     return column
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
-    """Log loss with decay of weights and factors, by full steps with adapted rates (Adam).
+def fit(column: np.ndarray, kept: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
+    """A machine for rows of columns: log loss with decay of weights and factors, by full
+    steps with adapted rates (Adam).
 
     Without rows of both labels the score is the share of label 1 (0 for no rows).
     """
     labels = np.asarray(labels, dtype=float)
-    column = choose(rows, labels)
     size = max(1, int(column.max(initial=-1)) + 1)
     share = float(labels.mean()) if len(labels) else 0.0
     bias = float(np.log((share + 1e-4) / (1 - share + 1e-4)))
     model = Machine(column, bias, np.zeros(size), np.zeros((size, FACTORS)))
     if not 0 < share < 1:
         return model
-    kept = [column[r] for r in rows]
-    kept = [c[c >= 0] for c in kept]
     counts = np.array([len(c) for c in kept], dtype=np.int64)
     columns = np.concatenate(kept).astype(np.int64)
     of_row = np.repeat(np.arange(len(kept)), counts)
@@ -122,11 +130,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
         p = 1 / (1 + np.exp(-np.clip(model.margins(columns, counts), -30, 30)))
         error = (p - labels) / len(labels)
         each = error[of_row]
-        sums = run_sums(model.factors[columns], counts)
         own = np.bincount(columns, each, size)
         pairs = np.empty((size, FACTORS))
         for f in range(FACTORS):
-            pairs[:, f] = np.bincount(columns, each * sums[of_row, f], size)
+            sums = np.bincount(of_row, model.factors[columns, f], len(counts))
+            pairs[:, f] = np.bincount(columns, each * sums[of_row], size)
         pairs -= model.factors * own[:, None]
         slope = np.concatenate([[error.sum()], own, pairs.ravel()]) + decay * theta
         first = 0.9 * first + 0.1 * slope
@@ -141,8 +149,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """A machine from at most `sample` labelled documents outside the held-out fold.
 
     The sample is that of the smallest hashes of the id. Rows of `labels` with a null id or
-    label are left out, and of repeated ids the larger label counts. Hash numbers of the
-    sample's terms come to the driver, which its bound limits.
+    label are left out, and of repeated ids the larger label counts. Terms are counted in
+    Spark; of the sample only the columns that the model keeps come to the driver.
     """
     bounded_batches(docs.sparkSession)
     known = (
@@ -164,10 +172,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     # The sample has a proven bound, so it may be broadcast.
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     made = texts.join(F.broadcast(known), "doc_id").select("toxic", "text")
-    rows = made.mapInPandas(terms, "toxic int, terms array<int>").toPandas()
+    rows = stored(made.mapInPandas(terms, "toxic int, terms array<int>"), "terms")
+    column = choose(rows)
+    shared = docs.sparkSession.sparkContext.broadcast(column)
+
+    def columns(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [np.sort(shared.value[t]) for t in part["terms"]]
+            yield part.assign(terms=[c[c >= 0].astype("<i4").tobytes() for c in found])
+
     # The order of the rows depends on the cluster; the fit must not.
-    kept = sorted(zip(rows["toxic"], (np.sort(t) for t in rows["terms"]), strict=True), key=lambda r: (r[0], r[1].tobytes()))
-    return fit([t for _, t in kept], np.array([y for y, _ in kept], dtype=float))
+    small = sorted(map(tuple, rows.mapInPandas(columns, "toxic int, terms binary").collect()))
+    kept = [np.frombuffer(t, dtype="<i4") for _, t in small]
+    return fit(column, kept, np.array([y for y, _ in small], dtype=float))
 
 
 def toxicity(docs: DataFrame, model: Machine, text: str = "text") -> Column:
