@@ -316,8 +316,9 @@ def added_spans(tagger: Tagger, texts: list[str], known: dict[str, int]) -> list
         return found
     if len(known) > 300_000:
         known.clear()
-    for w in set(words) - known.keys():
-        known[w] = tagger.type_of(w)
+    for w in set(words):
+        if w not in known:
+            known[w] = tagger.type_of(w)
     types = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
     line = np.cumsum(codes == 10)[starts]
     lengths = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(line)) + 1, [len(line)]]))

@@ -48,8 +48,9 @@ class Shingles:
         known = self.known
         if len(known) > self.kept:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh3_64_intdigest(w)
+        for w in set(words):
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
         width = min(WIDTH, len(h))
         total = np.full(len(h) - width + 1, width, dtype=np.uint64)

@@ -48,12 +48,12 @@ class Recent(dict):
 
     def missing(self, keys: set) -> list:
         """Those of `keys` that are known in neither generation; the others are young now."""
-        new = keys - self.keys()
+        new = {k for k in keys if k not in self}
         if len(self) + len(new) > KEPT:
             self.old = dict(self)
             self.clear()
             new = keys
-        back = self.old.keys() & new
+        back = {k for k in new if k in self.old}
         self.update((k, self.old[k]) for k in back)
         return list(new - back)
 
