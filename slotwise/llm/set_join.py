@@ -18,7 +18,7 @@ WIDTH = 5  # words of a shingle
 PER_CENT = 75
 SKETCH = 1 << 20  # counters of the frequency sketch
 CHUNK = 1 << 16  # counters that are summed as one row
-NEAR = 3  # neighbours in a list, by size, that each set is compared with at first
+NEAR = 1  # neighbours in a list, by size, that each set is compared with at first
 STEP = 2048  # sets of a long list that meet in one step
 POSTINGS = 400_000  # postings of a partition, about
 AT_ONCE = 200_000  # postings that a task looks through at once
@@ -282,9 +282,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("u", "v", "one", "two").mapInPandas(check, "u long, v long")
 
 
-def _full_sets(docs: DataFrame, described: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, hashes) of the sets in `pairs`, made anew from one text of each."""
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+def _full_sets(docs: DataFrame, described: DataFrame, ends: DataFrame) -> DataFrame:
+    """(node, hashes) of the sets named in `ends`, made anew from one text of each."""
     wanted = described.join(ends, "node", "left_semi").groupBy("node").agg(F.min("content").alias("content"))
 
     def full(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -333,7 +332,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
     met = stored(_by_token(postings, parts).mapInArrow(_first_pairs, PAIRS), "first-pairs")
     pairs = stored(met.filter("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "pairs")
-    sets = stored(_full_sets(plain, described, pairs), "full-sets")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node"))
+    ends = ends.union(met.filter("kind = 1").select(F.col("b").alias("node"))).distinct()
+    sets = stored(_full_sets(plain, described, ends), "full-sets")
     links = stored(_verified(pairs, sets), "links")
     roots = stored(components(links), "roots")
 
@@ -343,10 +344,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     more = again.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
     more = stored(more, "more-pairs")
     if more.take(1):
-        known = sets.select("node")
-        ends = more.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(known, "node", "left_anti")
-        extra = _full_sets(plain, described, ends.select(F.col("node").alias("u"), F.col("node").alias("v")))
-        links = links.union(_verified(more, sets.union(extra)))
+        links = links.union(_verified(more, sets))
         roots = components(links)
 
     ids = described.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
