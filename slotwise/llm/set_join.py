@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, bounded_batches, shuffle_parts, slices, stored
+from .common import LOWER, UPPER, bounded_batches, release, shuffle_parts, slices, stored
 from .components import components
 
 WIDTH = 5  # words of a shingle
@@ -263,38 +263,28 @@ def _by_token(postings: DataFrame, parts: int, *more: str) -> DataFrame:
     return postings.select(*_POSTING, *more).repartition(parts, "token").sortWithinPartitions("token", "n", "node")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets link."""
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets link, made anew from the texts, which shuffle smaller."""
 
     def check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles = Shingles()
         for part in parts:
             good = []
             for a, b in zip(part["one"], part["two"], strict=True):
-                x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-                x, y = (x, y) if len(x) < len(y) else (y, x)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                common = int((y[at] == x).sum())
+                x, y = shingles.of(a), shingles.of(b)
+                common = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * common >= PER_CENT * (len(x) + len(y) - common))
             yield part[["u", "v"]][np.array(good, dtype=bool)]
 
-    one = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("one")), "u")
-    both = one.join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("two")), "v")
+    one = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("one")), "u")
+    both = one.join(texts.select(F.col("node").alias("v"), F.col("text").alias("two")), "v")
     return both.select("u", "v", "one", "two").mapInPandas(check, "u long, v long")
 
 
-def _full_sets(docs: DataFrame, described: DataFrame, ends: DataFrame) -> DataFrame:
-    """(node, hashes) of the sets named in `ends`, made anew from one text of each."""
+def _texts(docs: DataFrame, described: DataFrame, ends: DataFrame) -> DataFrame:
+    """(node, text) of one text of each set named in `ends`."""
     wanted = described.join(ends, "node", "left_semi").groupBy("node").agg(F.min("content").alias("content"))
-
-    def full(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingles()
-        for part in parts:
-            rows = [shingles.of(t) for texts in slices(part["text"]) for t in texts]
-            kept = [r for r in rows if len(r)]
-            yield pd.DataFrame({"node": [node_of(r) for r in kept], "hashes": [r.tobytes() for r in kept]}).astype({"node": "int64"})
-
-    texts = docs.join(wanted.select("content").distinct(), "content", "left_semi").select("text")
-    return texts.mapInPandas(full, "node long, hashes binary").dropDuplicates(["node"])
+    return docs.join(wanted, "content").dropDuplicates(["content", "node"]).select("node", "text")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -334,8 +324,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     pairs = stored(met.filter("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "pairs")
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node"))
     ends = ends.union(met.filter("kind = 1").select(F.col("b").alias("node"))).distinct()
-    sets = stored(_full_sets(plain, described, ends), "full-sets")
-    links = stored(_verified(pairs, sets), "links")
+    release(spark)
+    texts = stored(_texts(plain, described, ends), "texts")
+    links = stored(_verified(pairs, texts), "links")
+    release(spark)
     roots = stored(components(links), "roots")
 
     long = met.filter("kind = 1").select(*(F.col(c).alias(x) for c, x in zip("abcde", _POSTING, strict=True)))
@@ -344,7 +336,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     more = again.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
     more = stored(more, "more-pairs")
     if more.take(1):
-        links = links.union(_verified(more, sets))
+        links = links.union(_verified(more, texts))
         roots = components(links)
 
     ids = described.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
