@@ -94,8 +94,8 @@ def _describe(docs: DataFrame) -> DataFrame:
                     sizes.append(len(own))
                     nodes.append(node_of(own) if len(own) else None)
             yield pd.DataFrame(
-                {"doc_id": part["doc_id"], "n": sizes, "node": nodes, "content": part["content"], "chunk": None, "counts": None}
-            ).astype({"doc_id": "Int64", "node": "Int64", "chunk": "Int32"})
+                {"doc_id": part["doc_id"], "n": sizes, "node": pd.array(nodes, dtype="Int64"), "content": part["content"], "chunk": None, "counts": None}
+            ).astype({"doc_id": "Int64", "chunk": "Int32"})
         for k in range(SKETCH // CHUNK):
             own = counts[k * CHUNK : (k + 1) * CHUNK]
             if own.any():
