@@ -7,21 +7,25 @@ from slotwise.oracle.tables import with_tables
 
 LIMIT = "16:30"  # two hours after the moment of the batch, a Monday
 
+# Tickets first, as few are ahead; policies as counts, and the gender as a condition on pairs
+# that have met, so no step is larger than calls or tickets.
 _MATCHES = f"""
-    SELECT r.seq, r.id_patient, r.id_ticket, t.closed, count(t.id) AS n
+    SELECT r.seq, r.id_patient, r.id_ticket, t.closed, sum(pd.policies) AS n
     FROM {{calls}} r
-    JOIN tickets t ON t.id = r.id_ticket
+    JOIN (SELECT t.id, t.closed, s.id AS id_speciality, ag.age_begin, ag.age_end
+          FROM tickets t
+          JOIN doctor_specialty ds ON ds.id = t.id_doctor_speciality
+          JOIN specialities s ON s.id = ds.id_speciality AND s.deleted_at IS NULL
+          JOIN doctors d ON d.id = ds.id_doctor AND d.deleted_at IS NULL
+          JOIN hospitals h ON h.id = d.id_hospital AND h.deleted_at IS NULL
+          JOIN age_groups ag ON ag.id = s.id_age_group
+          WHERE t.time_begin > {NOON} {{extra}}) t ON t.id = r.id_ticket
     JOIN patients p ON p.id = r.id_patient
-    JOIN doctor_specialty ds ON ds.id = t.id_doctor_speciality
-    JOIN specialities s ON s.id = ds.id_speciality AND s.deleted_at IS NULL
-    JOIN doctors d ON d.id = ds.id_doctor AND d.deleted_at IS NULL
-    JOIN hospitals h ON h.id = d.id_hospital AND h.deleted_at IS NULL
-    JOIN age_groups ag ON ag.id = s.id_age_group
-    JOIN speciality_gender sg ON sg.id_speciality = s.id AND sg.id_gender = p.id_gender
-    JOIN patient_documents pd ON pd.id_patient = p.id AND pd.id_document_type = 4
-    WHERE t.time_begin > {NOON} {{extra}}
-      AND p.birthdate + to_months(ag.age_begin * 12) <= {NOON}
-      AND p.birthdate + to_months(ag.age_end * 12) > {NOON}
+    JOIN (SELECT id_patient, count(*) AS policies FROM patient_documents
+          WHERE id_document_type = 4 GROUP BY id_patient) pd ON pd.id_patient = p.id
+    WHERE (t.id_speciality, p.id_gender) IN (SELECT id_speciality, id_gender FROM speciality_gender)
+      AND p.birthdate + to_months(t.age_begin * 12) <= {NOON}
+      AND p.birthdate + to_months(t.age_end * 12) > {NOON}
     GROUP BY ALL"""
 
 _OPEN_MATCHES = _MATCHES.format(calls="requests", extra="AND t.closed = 0")

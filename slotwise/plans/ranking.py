@@ -13,6 +13,14 @@ ID_RANGE = 65536
 BEFORE = (Window.unboundedPreceding, -1)
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which null keys are equal; the keys come from the left."""
+    names = {k: f"_right_{k}" for k in keys}
+    renamed = right.withColumnsRenamed(names)
+    same = [F.col(k).eqNullSafe(F.col(names[k])) for k in keys]
+    return left.join(renamed, same).drop(*names.values())
+
+
 def with_position(
     df: DataFrame,
     order: Sequence[Column],
@@ -24,7 +32,7 @@ def with_position(
     """Add the 1-based place of each row by `order`, then `tie` ascending, per `within`.
 
     `order` holds sort expressions on the columns `keys`; `keys` and `tie` together are
-    unique per `within`, and neither holds nulls.
+    unique per `within`. Null keys are a value of their own; `tie` holds no nulls.
 
     Three small levels replace one window over the whole group: a row number inside a
     bucket of at most ID_RANGE ids, running totals over the buckets of equal keys, and
@@ -46,7 +54,7 @@ def with_position(
         .over(Window.partitionBy(*within).orderBy(*order).rowsBetween(*before))
         .alias("_outer"),
     )
-    starts = buckets.join(groups, same).select(
+    starts = _null_safe(buckets, groups, same).select(
         *same,
         "_bucket",
         (F.coalesce("_inner", F.lit(0)) + F.coalesce("_outer", F.lit(0))).alias("_start"),
@@ -54,7 +62,7 @@ def with_position(
     rows = bucketed.withColumn(
         "_row", F.row_number().over(Window.partitionBy(*same, "_bucket").orderBy(tie))
     )
-    return rows.join(starts, [*same, "_bucket"]).select(
+    return _null_safe(rows, starts, [*same, "_bucket"]).select(
         *df.columns, (F.col("_start") + F.col("_row")).alias(name)
     )
 

@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 SHARE = 0.005
 TRACKED = 10000
 SALTS = 32
+# Fewer rows than this are no load for one task, and each key would hold SHARE of them.
+LEAST_ROWS = 1_000
 
 
 def _hash(keys: Sequence[str]) -> Column:
-    return F.xxhash64(*keys)
+    """Hash of id columns, equal on both sides of a join whatever whole type they have."""
+    return F.xxhash64(*(F.col(k).cast("long") for k in keys))
 
 
 def hot_keys(df: DataFrame, *key_sets: Sequence[str]) -> list[list[int]]:
@@ -31,6 +34,8 @@ def hot_keys(df: DataFrame, *key_sets: Sequence[str]) -> list[list[int]]:
         for keys in key_sets
     ]
     total, *found = df.agg(F.count(F.lit(1)), *tops).first()
+    if total < LEAST_ROWS:
+        return [[] for _ in key_sets]
     return [
         sorted(top["item"] for top in items if top["count"] >= SHARE * total)
         for items in found

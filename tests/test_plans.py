@@ -191,3 +191,22 @@ def test_count_before_equals_one_window(spark, monkeypatch):
     wanted = df.withColumn("n", F.coalesce(F.count_if(flag).over(window), F.lit(0)))
     counted = ranking.count_before(df, flag, ["g"], "seq", "n")
     assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_whole_types_of_ids_join_alike(spark):
+    """Hot keys find their lookup row whatever whole type the ids of the calls have."""
+    lookup = spark.range(50).select(F.col("id").alias("k"))
+    for kind in ("int", "bigint", "decimal(18,0)"):
+        calls = spark.range(20_000).select(
+            "id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 60).cast(kind).alias("k")
+        )
+        (hot,) = hot_keys(calls, ["k"])
+        assert hot
+        assert spread_join(calls, lookup, ["k"], hot, "id").count() == calls.join(lookup, "k").count()
+
+
+def test_positions_keep_null_keys(spark):
+    rows = [(1, None), (2, 5), (3, None), (4, 2)]
+    df = spark.createDataFrame(rows, "id long, degree int")
+    found = ranking.with_position(df, [F.col("degree").asc_nulls_first()], ["degree"], "id")
+    assert sorted((r.id, r.pos) for r in found.collect()) == [(1, 1), (2, 4), (3, 2), (4, 3)]
