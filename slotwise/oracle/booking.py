@@ -10,7 +10,7 @@ LIMIT = "16:30"  # two hours after the moment of the batch, a Monday
 # Tickets first, as few are ahead; policies as counts, and the gender as a condition on pairs
 # that have met, so no step is larger than calls or tickets.
 _MATCHES = f"""
-    SELECT r.seq, r.id_patient, r.id_ticket, t.closed, sum(pd.policies) AS n
+    SELECT r.seq, r.id_patient, r.id_ticket, t.closed, CAST(sum(pd.policies) AS BIGINT) AS n
     FROM {{calls}} r
     JOIN (SELECT t.id, t.closed, s.id AS id_speciality, ag.age_begin, ag.age_end
           FROM tickets t
