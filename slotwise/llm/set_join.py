@@ -22,6 +22,8 @@ NEAR = 1  # neighbours in a list, by size, that each set is compared with at fir
 STEP = 2048  # sets of a long list that meet in one step
 POSTINGS = 400_000  # postings of a partition, about
 AT_ONCE = 200_000  # postings that a task looks through at once
+BITS = 1024  # bits of a set's parity map
+MAPS = 1 << 16  # pairs whose parity maps are compared at once
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -71,35 +73,41 @@ def node_of(hashes: np.ndarray) -> int:
     return _signed(xxhash.xxh3_64_intdigest(hashes.tobytes()))
 
 
+def parity_map(hashes: np.ndarray) -> bytes:
+    """BITS bits; each is the parity of the number of elements that are hashed to it."""
+    counts = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
 def _needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least intersection of sets of sizes a and b that link, rounded up."""
     return -(-PER_CENT * (a + b) // (100 + PER_CENT))
 
 
-SETS = "doc_id long, n long, node long, content long, chunk int, counts binary"
+SETS = "doc_id long, n long, node long, content long, bits binary, chunk int, counts binary"
 
 
 def _describe(docs: DataFrame) -> DataFrame:
-    """Per document its set's size and name; per task the counters of its shingles."""
+    """Per document its set's size, name and parity map; per task the counters of its shingles."""
 
     def describe(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles()
         counts = np.zeros(SKETCH, dtype=np.uint32)
         for part in parts:
-            sizes, nodes = [], []
+            sizes, nodes, maps = [], [], []
             for texts in slices(part["text"]):
                 for text in texts:
                     own = shingles.of(text)
                     np.add.at(counts, (own & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
                     sizes.append(len(own))
                     nodes.append(node_of(own) if len(own) else None)
-            yield pd.DataFrame(
-                {"doc_id": part["doc_id"], "n": sizes, "node": pd.array(nodes, dtype="Int64"), "content": part["content"], "chunk": None, "counts": None}
-            ).astype({"doc_id": "Int64", "chunk": "Int32"})
+                    maps.append(parity_map(own))
+            named = {"doc_id": part["doc_id"], "n": sizes, "node": pd.array(nodes, dtype="Int64"), "content": part["content"]}
+            yield pd.DataFrame({**named, "bits": maps, "chunk": None, "counts": None}).astype({"doc_id": "Int64", "chunk": "Int32"})
         for k in range(SKETCH // CHUNK):
             own = counts[k * CHUNK : (k + 1) * CHUNK]
             if own.any():
-                row = {"doc_id": None, "n": 0, "node": None, "content": None, "chunk": k, "counts": own.tobytes()}
+                row = {"doc_id": None, "n": 0, "node": None, "content": None, "bits": None, "chunk": k, "counts": own.tobytes()}
                 yield pd.DataFrame([row]).astype({"doc_id": "Int64", "node": "Int64", "content": "Int64"})
 
     return docs.mapInPandas(describe, SETS)
@@ -166,6 +174,22 @@ def _may_link(n_a, at_a, before_a, n_b, at_b, before_b) -> np.ndarray:
     return fits & ~((before_a == before_b) & (at_a > 0) & (at_b > 0))
 
 
+def _may_overlap(n_a: np.ndarray, map_a: np.ndarray, n_b: np.ndarray, map_b: np.ndarray) -> np.ndarray:
+    """Whether parity maps leave room for a link.
+
+    Bits that differ each stand for at least one element that only one of the sets has.
+    """
+    apart = np.bitwise_count(map_a ^ map_b).sum(axis=1, dtype=np.int64)
+    return n_a + n_b - apart >= 2 * _needed(n_a, n_b)
+
+
+def _values(column: pa.Array) -> np.ndarray:
+    """A column of numbers, or of parity maps as rows of 64-bit words."""
+    if pa.types.is_integer(column.type):
+        return np.array(column, dtype=np.int64)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+
+
 def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray]]:
     """Postings sorted by token, as arrays that end where a token ends."""
     held: list[list[np.ndarray]] = []
@@ -176,7 +200,7 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[
 
     for batch in batches:
         if batch.num_rows:
-            held.append([np.array(batch.column(k), dtype=np.int64) for k in range(len(names))])
+            held.append([_values(batch.column(k)) for k in range(len(names))])
             size += batch.num_rows
         if size >= AT_ONCE:
             run = joined()
@@ -227,14 +251,15 @@ def _other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a list whose sets are of different components so far.
 
     Sets of one component need no comparison, and lists are sorted by size, so whole steps
-    are skipped where even their nearest sizes are too far apart.
+    are skipped where even their nearest sizes are too far apart. Of many sets that hold one
+    passage most pairs don't link; their parity maps show that here, before pairs are made.
     """
-    names = [*_POSTING, "root"]
+    names = [*_POSTING, "root", "bits"]
     for run in _runs(batches, names):
         token = run["token"]
         begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])).tolist()
         for b, e in zip(begins, [*begins[1:], len(token)], strict=True):
-            node, n, at, before, root = (run[c][b:e] for c in names[1:])
+            node, n, at, before, root, bits = (run[c][b:e] for c in names[1:])
             if (root == root[0]).all():
                 continue
             for x in range(0, len(node), STEP):
@@ -249,10 +274,13 @@ def _other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     good = apart & _may_link(
                         n[xs][:, None], at[xs][:, None], before[xs][:, None], n[ys][None], at[ys][None], before[ys][None]
                     )
-                    i, j = np.nonzero(good)
-                    if len(i):
-                        u, v = node[xs][i], node[ys][j]
-                        yield _batch(0, [np.maximum(u, v), np.minimum(u, v)])
+                    left, right = (own + first for own, first in zip(np.nonzero(good), (x, y), strict=True))
+                    for k in range(0, len(left), MAPS):
+                        i, j = left[k : k + MAPS], right[k : k + MAPS]
+                        room = _may_overlap(n[i], bits[i], n[j], bits[j])
+                        u, v = node[i[room]], node[j[room]]
+                        if len(u):
+                            yield _batch(0, [np.maximum(u, v), np.minimum(u, v)])
 
 
 PAIRS = "kind long, a long, b long, c long, d long, e long"
@@ -295,7 +323,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links reach. Equal sets are one node. Every set has postings for its prefix, so each pair
     that can link meets in the list of its first common token. Pairs are skipped by size, by
     the token's place, where an earlier list has them, and, in long lists, where the sets are
-    in one component already: an answer for one set is one for all that are linked with it.
+    in one component already: an answer for one set is one for all that are linked with it;
+    there parity maps bound the intersection too.
     All others are compared exactly; no list is cut.
 
     Null and empty texts and texts without words have 0 shingles and link with nothing; their
@@ -309,7 +338,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
     plain = plain.withColumn("content", F.xxhash64("text"))
     table = stored(_describe(plain), "sets")
-    described = table.filter("chunk IS NULL").drop("chunk", "counts")
+    described = table.filter("chunk IS NULL").drop("chunk", "counts", "bits")
     frequent = _frequent(table.filter("chunk IS NOT NULL").select("chunk", "counts"))
     total = described.agg(F.sum("n")).first()[0] or 0
     parts = max(shuffle_parts(spark), -(-total * (100 - PER_CENT) // 100 // POSTINGS))
@@ -332,7 +361,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     long = met.filter("kind = 1").select(*(F.col(c).alias(x) for c, x in zip("abcde", _POSTING, strict=True)))
     named = long.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    again = _by_token(named, shuffle_parts(spark), "root").mapInArrow(_other_pairs, PAIRS)
+    ends = long.select("node").distinct()
+    maps = table.filter("chunk IS NULL").select("node", "bits").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    mapped = named.join(maps, "node")
+    again = _by_token(mapped, shuffle_parts(spark), "root", "bits").mapInArrow(_other_pairs, PAIRS)
     more = again.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
     more = stored(more, "more-pairs")
     if more.take(1):

@@ -152,6 +152,38 @@ def test_set_join_and_passages(spark, docs, none):
     assert passages.repeated_passages(none).count() == 0
 
 
+def test_set_join_of_near_copies_against_brute_force(spark):
+    draw = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(160)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for k in draw.choice(160, int(draw.integers(1, 14)), replace=False):
+            words[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(words)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(156)} for i, t in rows}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                old, new = sorted((root[i], root[j]))[::-1]
+                root = {k: new if r == old else r for k, r in root.items()}
+    assert 1 < len(set(root.values())) < 150
+    found = set_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in found.collect()} == root
+
+
+def test_parity_maps_leave_room_for_every_link():
+    draw = np.random.default_rng(9)
+    for _ in range(300):
+        size = int(draw.integers(1, 4000))
+        common, more, other = (draw.integers(0, 1 << 63, n, dtype=np.uint64) for n in (size, size // 6, size // 6))
+        a, b = np.unique(np.concatenate([common, more])), np.unique(np.concatenate([common, other]))
+        assert 100 * size >= 75 * len(np.union1d(a, b))
+        maps = [np.frombuffer(set_join.parity_map(x), dtype=np.uint64)[None] for x in (a, b)]
+        assert set_join._may_overlap(np.array([len(a)]), maps[0], np.array([len(b)]), maps[1]).all()
+
+
 def test_compact_windows_cover_each_run_once():
     h = np.random.default_rng(2).integers(0, 20, 60).astype(np.uint64)
     l, c, r = passages.compact_windows(h, np.array([0, 25, 60]), 5)
