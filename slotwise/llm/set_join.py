@@ -23,6 +23,7 @@ STEP = 2048  # sets of a long list that meet in one step
 POSTINGS = 400_000  # postings of a partition, about
 AT_ONCE = 200_000  # postings that a task looks through at once
 BITS = 1024  # bits of a set's parity map
+LEADERS = 64  # sets of a long list that others are tied to before the exact pass
 MAPS = 1 << 16  # pairs whose parity maps are compared at once
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -221,8 +222,8 @@ def _batch(kind: int, columns: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: pairs (a, b) of near neighbours by size in a list, and of each set with the
-    list's first. Kind 1: the postings of lists that have further pairs."""
+    """Kind 0: pairs (a, b) of near neighbours by size in a list. Kind 1: the postings of
+    lists that have further pairs."""
     for run in _runs(batches, _POSTING):
         token, node, n, at, before = (run[c] for c in _POSTING)
         begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
@@ -231,12 +232,9 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = many > 1
         if not keep.any():
             continue
-        head = np.repeat(begins, sizes)
         index = np.arange(len(token))
         pairs = [(index[:-d], index[d:]) for d in range(1, NEAR + 1) if len(index) > d]
         pairs = [(i[token[i] == token[j]], j[token[i] == token[j]]) for i, j in pairs]
-        star = index[(many > NEAR + 1) & (index - head > NEAR)]
-        pairs.append((head[star], star))
         i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
         good = _may_link(n[i], at[i], before[i], n[j], at[j], before[j]) & (node[i] != node[j])
         i, j = i[good], j[good]
@@ -247,6 +245,34 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(1, [token[long], node[long], n[long], at[long], before[long]])
 
 
+def _leader_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a long list's sets with leaders, so that a group of near copies becomes one
+    component from as many pairs as it has sets.
+
+    The set of the smallest name leads all that may link with it by their parity maps, the
+    smallest of the rest leads next, and so on. What is left is for the exact pass.
+    """
+    names = [*_POSTING, "bits"]
+    for run in _runs(batches, names):
+        token = run["token"]
+        begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])).tolist()
+        pairs = []
+        for b, e in zip(begins, [*begins[1:], len(token)], strict=True):
+            node, n, bits = (run[c][b:e] for c in ("node", "n", "bits"))
+            left = np.argsort(node)
+            for _ in range(LEADERS):
+                if len(left) < 2:
+                    break
+                first, left = left[0], left[1:]
+                room = PER_CENT * np.maximum(n[first], n[left]) <= 100 * np.minimum(n[first], n[left])
+                room &= _may_overlap(n[first], bits[first][None], n[left], bits[left])
+                found = node[left[room]]
+                pairs.append((found, np.full(len(found), node[first])))
+                left = left[~room]
+        if pairs:
+            yield _batch(0, [np.concatenate(x) for x in zip(*pairs, strict=True)])
+
+
 def _other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a list whose sets are of different components so far.
 
@@ -291,6 +317,24 @@ def _by_token(postings: DataFrame, parts: int, *more: str) -> DataFrame:
     return postings.select(*_POSTING, *more).repartition(parts, "token").sortWithinPartitions("token", "n", "node")
 
 
+def _with_room(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose parity maps leave room for a link."""
+
+    def check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            a, b = (np.frombuffer(b"".join(part[c]), dtype=np.uint64).reshape(-1, BITS // 64) for c in ("map_u", "map_v"))
+            yield part.loc[_may_overlap(part["n_u"].to_numpy(), a, part["n_v"].to_numpy(), b), ["u", "v"]]
+
+    for end in ("u", "v"):
+        of_end = maps.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"map_{end}"))
+        pairs = pairs.join(of_end, end)
+    return pairs.mapInPandas(check, "u long, v long")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sets link, made anew from the texts, which shuffle smaller."""
 
@@ -323,8 +367,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links reach. Equal sets are one node. Every set has postings for its prefix, so each pair
     that can link meets in the list of its first common token. Pairs are skipped by size, by
     the token's place, where an earlier list has them, and, in long lists, where the sets are
-    in one component already: an answer for one set is one for all that are linked with it;
-    there parity maps bound the intersection too.
+    in one component already: an answer for one set is one for all that are linked with it.
+    Sets of long lists are tied to leaders first, so that few pairs make these components.
+    Parity maps bound the intersection of a pair before its texts are fetched.
     All others are compared exactly; no list is cut.
 
     Null and empty texts and texts without words have 0 shingles and link with nothing; their
@@ -350,25 +395,28 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         .select("token", "node", "n", F.col("at").cast("long").alias("at"), before.alias("before"))
     )
     met = stored(_by_token(postings, parts).mapInArrow(_first_pairs, PAIRS), "first-pairs")
-    pairs = stored(met.filter("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "pairs")
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node"))
-    ends = ends.union(met.filter("kind = 1").select(F.col("b").alias("node"))).distinct()
+    near = met.filter("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    long = met.filter("kind = 1").select(*(F.col(c).alias(x) for c, x in zip("abcde", _POSTING, strict=True)))
+    ends = _ends(near).union(long.select("node")).distinct()
+    maps = table.filter("chunk IS NULL").select("node", "n", "bits").join(ends, "node", "left_semi")
+    maps = stored(maps.dropDuplicates(["node"]), "maps")
+    lists = long.join(maps.select("node", "bits"), "node")
+    led = _by_token(lists, shuffle_parts(spark), "bits").mapInArrow(_leader_pairs, PAIRS)
+    led = led.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    pairs = stored(_with_room(near, maps).union(led).distinct(), "pairs")
     release(spark)
-    texts = stored(_texts(plain, described, ends), "texts")
+    texts = stored(_texts(plain, described, _ends(pairs)), "texts")
     links = stored(_verified(pairs, texts), "links")
     release(spark)
     roots = stored(components(links), "roots")
 
-    long = met.filter("kind = 1").select(*(F.col(c).alias(x) for c, x in zip("abcde", _POSTING, strict=True)))
-    named = long.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ends = long.select("node").distinct()
-    maps = table.filter("chunk IS NULL").select("node", "bits").join(ends, "node", "left_semi").dropDuplicates(["node"])
-    mapped = named.join(maps, "node")
-    again = _by_token(mapped, shuffle_parts(spark), "root", "bits").mapInArrow(_other_pairs, PAIRS)
+    named = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    again = _by_token(named, shuffle_parts(spark), "root", "bits").mapInArrow(_other_pairs, PAIRS)
     more = again.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
     more = stored(more, "more-pairs")
     if more.take(1):
-        links = links.union(_verified(more, texts))
+        texts = stored(_texts(plain, described, _ends(more)), "texts")
+        links = links.union(stored(_verified(more, texts), "links"))
         roots = components(links)
 
     ids = described.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
