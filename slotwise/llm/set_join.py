@@ -22,7 +22,9 @@ NEAR = 1  # neighbours in a list, by size, that each set is compared with at fir
 STEP = 2048  # sets of a long list that meet in one step
 POSTINGS = 400_000  # postings of a partition, about
 AT_ONCE = 200_000  # postings that a task looks through at once
-BITS = 1024  # bits of a set's parity map
+BITS = 1024  # bits of a set's parity map in lists
+WIDEST = 1 << 17  # bits of a large set's own map, at most
+BUFFER = 250_000  # characters that are shingled at once
 LEADERS = 64  # sets of a long list that others are tied to before the exact pass
 MAPS = 1 << 16  # pairs whose parity maps are compared at once
 
@@ -36,33 +38,77 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _powers(base: int, size: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, base, dtype=np.uint64)]))
+
+
+_BASE = 0x9E3779B97F4A7C15
+_LETTERS = _mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _FACTORS[1])
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
 class Shingles:
-    """64-bit hashes of shingles of lower-cased words; words' hashes are remembered."""
-
-    def __init__(self, kept: int = 300_000):
-        self.kept = kept
-        self.known: dict[bytes, int] = {}
-
-    def row(self, text: str) -> np.ndarray:
-        """Hashes of all shingles in order; fewer words than a shingle's are one, none none."""
-        words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-        if not words:
-            return np.zeros(0, dtype=np.uint64)
-        known = self.known
-        if len(known) > self.kept:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-        width = min(WIDTH, len(h))
-        total = np.full(len(h) - width + 1, width, dtype=np.uint64)
-        for k in range(width):
-            total += _mixed(h[k : len(h) - width + 1 + k] * _FACTORS[k])
-        return _mixed(total)
+    """64-bit hashes of shingles of lower-cased words.
+
+    A word's hash is a polynomial of its bytes, taken from running sums over a whole buffer,
+    so words are not looked up one by one.
+    """
+
+    def __init__(self) -> None:
+        self._grow(1 << 18)
+
+    def _grow(self, size: int) -> None:
+        self.powers = _powers(_BASE, size)
+        self.inverse = _powers(pow(_BASE, -1, 1 << 64), size)
+
+    def _words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where words begin in `data`, and their hashes."""
+        raw = np.frombuffer(data, dtype=np.uint8)
+        if len(raw) > len(self.powers):
+            self._grow(1 << (len(raw) - 1).bit_length())
+        inside = np.zeros(len(raw) + 2, dtype=bool)
+        inside[1:-1] = ~_SPACE[raw]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        begins, ends = edges[::2], edges[1::2]
+        sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(_LETTERS[raw] * self.powers[: len(raw)], out=sums[1:])
+        known = (sums[ends] - sums[begins]) * self.inverse[np.minimum(begins, len(raw) - 1)]
+        return begins, _mixed(known + (ends - begins).astype(np.uint64))
+
+    def rows(self, texts: list[str]) -> list[np.ndarray]:
+        """Per text the hashes of all shingles in order; fewer words than a shingle's are one,
+        none none."""
+        parts = [t.encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
+        begins, h = self._words(b" ".join(parts))
+        at = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        bounds = np.searchsorted(begins, at).tolist()
+        whole = _shingled(h, WIDTH)
+        out = []
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            out.append(whole[a : b - WIDTH + 1] if b - a >= WIDTH else _shingled(h[a:b], b - a))
+        return out
+
+    def sets(self, texts: list[str]) -> list[np.ndarray]:
+        """Per text its distinct hashes, sorted."""
+        return [_distinct(row) for row in self.rows(texts)]
 
     def of(self, text: str) -> np.ndarray:
-        return np.unique(self.row(text))
+        return self.sets([text])[0]
+
+
+def _shingled(h: np.ndarray, width: int) -> np.ndarray:
+    size = len(h) - width + 1
+    if size <= 0 or not width:
+        return np.zeros(0, dtype=np.uint64)
+    total = np.full(size, width, dtype=np.uint64)
+    for k in range(width):
+        total += h[k : size + k] * _FACTORS[k]
+    return _mixed(total)
+
+
+def _distinct(row: np.ndarray) -> np.ndarray:
+    row = np.sort(row)
+    return row[np.concatenate([[True], row[1:] != row[:-1]])] if len(row) else row
 
 
 def _signed(x: int) -> int:
@@ -74,18 +120,33 @@ def node_of(hashes: np.ndarray) -> int:
     return _signed(xxhash.xxh3_64_intdigest(hashes.tobytes()))
 
 
-def parity_map(hashes: np.ndarray) -> bytes:
-    """BITS bits; each is the parity of the number of elements that are hashed to it."""
-    counts = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS)
+def parity_map(hashes: np.ndarray, bits: int = BITS) -> bytes:
+    """So many bits; each is the parity of the number of elements that are hashed to it."""
+    counts = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % bits, minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+def wide_map(hashes: np.ndarray) -> bytes | None:
+    """A parity map with two bits an element, for sets that BITS bits can't tell apart."""
+    if 2 * len(hashes) <= BITS:
+        return None
+    return parity_map(hashes, 1 << min(2 * len(hashes) - 1, WIDEST - 1).bit_length())
+
+
+def _wide_room(n_a: int, a: bytes, n_b: int, b: bytes) -> bool:
+    """Whether wide maps leave room for a link; the wider is folded to the other's width."""
+    x, y = sorted((np.frombuffer(m, dtype=np.uint64) for m in (a, b)), key=len)
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    apart = int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+    return n_a + n_b - apart >= 2 * int(_needed(np.int64(n_a), np.int64(n_b)))
+
+
 def _needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least intersection of sets of sizes a and b that link, rounded up."""
     return -(-PER_CENT * (a + b) // (100 + PER_CENT))
 
 
-SETS = "doc_id long, n long, node long, content long, bits binary, chunk int, counts binary"
+SETS = "doc_id long, n long, node long, content long, bits binary, wide binary, chunk int, counts binary"
 
 
 def _describe(docs: DataFrame) -> DataFrame:
@@ -95,20 +156,20 @@ def _describe(docs: DataFrame) -> DataFrame:
         shingles = Shingles()
         counts = np.zeros(SKETCH, dtype=np.uint32)
         for part in parts:
-            sizes, nodes, maps = [], [], []
-            for texts in slices(part["text"]):
-                for text in texts:
-                    own = shingles.of(text)
+            sizes, nodes, maps, wide = [], [], [], []
+            for texts in slices(part["text"], BUFFER):
+                for own in shingles.sets(texts):
                     np.add.at(counts, (own & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
                     sizes.append(len(own))
                     nodes.append(node_of(own) if len(own) else None)
                     maps.append(parity_map(own))
+                    wide.append(wide_map(own))
             named = {"doc_id": part["doc_id"], "n": sizes, "node": pd.array(nodes, dtype="Int64"), "content": part["content"]}
-            yield pd.DataFrame({**named, "bits": maps, "chunk": None, "counts": None}).astype({"doc_id": "Int64", "chunk": "Int32"})
+            yield pd.DataFrame({**named, "bits": maps, "wide": wide, "chunk": None, "counts": None}).astype({"doc_id": "Int64", "chunk": "Int32"})
         for k in range(SKETCH // CHUNK):
             own = counts[k * CHUNK : (k + 1) * CHUNK]
             if own.any():
-                row = {"doc_id": None, "n": 0, "node": None, "content": None, "bits": None, "chunk": k, "counts": own.tobytes()}
+                row = {"doc_id": None, "n": 0, "node": None, "content": None, "bits": None, "wide": None, "chunk": k, "counts": own.tobytes()}
                 yield pd.DataFrame([row]).astype({"doc_id": "Int64", "node": "Int64", "content": "Int64"})
 
     return docs.mapInPandas(describe, SETS)
@@ -147,9 +208,8 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         shingles, late = Shingles(), shared.value
         for part in parts:
             nodes, sizes, tokens = [], [], []
-            for texts in slices(part["text"]):
-                for text in texts:
-                    own = shingles.of(text)
+            for texts in slices(part["text"], BUFFER):
+                for own in shingles.sets(texts):
                     if len(own):
                         behind = late[(own & np.uint64(SKETCH - 1)).astype(np.int64)]
                         ordered = np.concatenate([own[~behind], own[behind]])
@@ -323,10 +383,14 @@ def _with_room(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     def check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             a, b = (np.frombuffer(b"".join(part[c]), dtype=np.uint64).reshape(-1, BITS // 64) for c in ("map_u", "map_v"))
-            yield part.loc[_may_overlap(part["n_u"].to_numpy(), a, part["n_v"].to_numpy(), b), ["u", "v"]]
+            good = _may_overlap(part["n_u"].to_numpy(), a, part["n_v"].to_numpy(), b)
+            both = good & part["wide_u"].notna().to_numpy() & part["wide_v"].notna().to_numpy()
+            wide = part.loc[both, ["n_u", "wide_u", "n_v", "wide_v"]]
+            good[both] = [_wide_room(*row) for row in wide.itertuples(index=False, name=None)]
+            yield part.loc[good, ["u", "v"]]
 
     for end in ("u", "v"):
-        of_end = maps.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"map_{end}"))
+        of_end = maps.select(*(F.col(c).alias(f"{x}_{end}") for c, x in (("n", "n"), ("bits", "map"), ("wide", "wide"))), F.col("node").alias(end))
         pairs = pairs.join(of_end, end)
     return pairs.mapInPandas(check, "u long, v long")
 
@@ -343,7 +407,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for part in parts:
             good = []
             for a, b in zip(part["one"], part["two"], strict=True):
-                x, y = shingles.of(a), shingles.of(b)
+                x, y = shingles.sets([a, b])
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * common >= PER_CENT * (len(x) + len(y) - common))
             yield part[["u", "v"]][np.array(good, dtype=bool)]
@@ -369,7 +433,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     the token's place, where an earlier list has them, and, in long lists, where the sets are
     in one component already: an answer for one set is one for all that are linked with it.
     Sets of long lists are tied to leaders first, so that few pairs make these components.
-    Parity maps bound the intersection of a pair before its texts are fetched.
+    Parity maps bound the intersection of a pair before its texts are fetched; a large set
+    has a map of its own width for that.
     All others are compared exactly; no list is cut.
 
     Null and empty texts and texts without words have 0 shingles and link with nothing; their
@@ -383,7 +448,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
     plain = plain.withColumn("content", F.xxhash64("text"))
     table = stored(_describe(plain), "sets")
-    described = table.filter("chunk IS NULL").drop("chunk", "counts", "bits")
+    described = table.filter("chunk IS NULL").drop("chunk", "counts", "bits", "wide")
     frequent = _frequent(table.filter("chunk IS NOT NULL").select("chunk", "counts"))
     total = described.agg(F.sum("n")).first()[0] or 0
     parts = max(shuffle_parts(spark), -(-total * (100 - PER_CENT) // 100 // POSTINGS))
@@ -398,12 +463,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     near = met.filter("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
     long = met.filter("kind = 1").select(*(F.col(c).alias(x) for c, x in zip("abcde", _POSTING, strict=True)))
     ends = _ends(near).union(long.select("node")).distinct()
-    maps = table.filter("chunk IS NULL").select("node", "n", "bits").join(ends, "node", "left_semi")
+    maps = table.filter("chunk IS NULL").select("node", "n", "bits", "wide").join(ends, "node", "left_semi")
     maps = stored(maps.dropDuplicates(["node"]), "maps")
     lists = long.join(maps.select("node", "bits"), "node")
     led = _by_token(lists, shuffle_parts(spark), "bits").mapInArrow(_leader_pairs, PAIRS)
     led = led.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    pairs = stored(_with_room(near, maps).union(led).distinct(), "pairs")
+    pairs = stored(_with_room(near.union(led).distinct(), maps), "pairs")
     release(spark)
     texts = stored(_texts(plain, described, _ends(pairs)), "texts")
     links = stored(_verified(pairs, texts), "links")
@@ -413,7 +478,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     named = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     again = _by_token(named, shuffle_parts(spark), "root", "bits").mapInArrow(_other_pairs, PAIRS)
     more = again.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
-    more = stored(more, "more-pairs")
+    more = stored(_with_room(more, maps), "more-pairs")
     if more.take(1):
         texts = stored(_texts(plain, described, _ends(more)), "texts")
         links = links.union(stored(_verified(more, texts), "links"))

@@ -184,6 +184,41 @@ def test_parity_maps_leave_room_for_every_link():
         assert set_join._may_overlap(np.array([len(a)]), maps[0], np.array([len(b)]), maps[1]).all()
 
 
+def test_wide_maps_leave_room_for_every_link_and_little_else():
+    draw = np.random.default_rng(8)
+    for size in (700, 3000, 9000, 90_000):
+        common, more, other, strange = (draw.integers(0, 1 << 63, n, dtype=np.uint64) for n in (size, size // 6, size // 8, size))
+        a, b, far = (np.unique(x) for x in (np.concatenate([common, more]), np.concatenate([common, other]), strange))
+        maps = {len(x): set_join.wide_map(x) for x in (a, b, far)}
+        assert set_join._wide_room(len(a), maps[len(a)], len(b), maps[len(b)])
+        assert size > 50_000 or not set_join._wide_room(len(a), maps[len(a)], len(far), maps[len(far)])
+    assert set_join.wide_map(a[:512]) is None
+
+
+def test_shingles_are_those_of_split_words():
+    shingles = set_join.Shingles()
+    texts = ["", " \t\n", "One", "a b\x0bC d", " A  B c\rd ", "x\x1cy \u00a0 z", "r\u00e9 " * 9, "k " + "w" * 400_000, " ".join(f"w{i % 700}" for i in range(3000))]
+    sets = shingles.sets(texts)
+    assert all((x == shingles.of(t)).all() and len(x) == len(shingles.of(t)) for x, t in zip(sets, texts, strict=True))
+    for own, text in zip(sets, texts, strict=True):
+        words = text.encode().lower().split()
+        width = min(5, len(words))
+        assert len(own) == len({tuple(words[i : i + width]) for i in range(len(words) - width + 1)} - {()})
+    assert (sets[3] == sets[4]).all() and len(np.unique(np.concatenate(sets))) == sum(map(len, sets)) - 1
+
+
+def test_probes_find_close_pairs_in_many_dimensions():
+    draw = np.random.default_rng(6)
+    base = draw.normal(size=(3000, 64)) + 2 * draw.normal(size=(20, 64))[draw.integers(0, 20, 3000)]
+    x = base / np.linalg.norm(base, axis=1)[:, None]
+    step = draw.normal(size=x.shape)
+    y = x + 0.199 * step / np.linalg.norm(step, axis=1)[:, None]
+    q = embeddings.train(x, 55)
+    home = q.encode(y)[0]
+    found = [c in own for c, own in zip(home, q.probes(x, 0.2), strict=True)]
+    assert np.mean(found) >= 0.999
+
+
 def test_compact_windows_cover_each_run_once():
     h = np.random.default_rng(2).integers(0, 20, 60).astype(np.uint64)
     l, c, r = passages.compact_windows(h, np.array([0, 25, 60]), 5)
