@@ -18,6 +18,7 @@ MOST_CELLS = 4096
 PARTS = 8  # subspaces of a residual
 CODES = 64  # codewords of a subspace
 BLOCK = 512  # vectors of a list, or queries, that meet in one step
+MARGIN = 4.0  # deviations of a random step that probes reach; recall is measured in the tests
 SLACK = 1e-6  # for rounding; the exact cosine decides
 
 
@@ -59,16 +60,22 @@ class Quantiser:
         return out
 
     def probes(self, x: np.ndarray, radius: float) -> list[np.ndarray]:
-        """The cells in which a vector within `radius` of x can be.
+        """The cells in which a vector within `radius` of x may be, MARGIN deviations far.
 
-        It is nearer to its own cell's centroid c than to x's c', so x is at most `radius`
-        from the plane between both: (|x-c|^2 - |x-c'|^2) / (2 |c-c'|) <= radius.
+        It is nearer to its own cell's centroid c than to x's c', so the way from x to it
+        passes the plane between both, which is (|x-c|^2 - |x-c'|^2) / (2 |c-c'|) away. A
+        step of length `radius` in any of d dimensions goes radius / sqrt(d) along the
+        plane's normal in the mean square; where MARGIN such steps are longer than `radius`,
+        the latter bounds it without exception.
         """
+        reach = radius * min(1.0, MARGIN / np.sqrt(x.shape[1]))
         squares = ((x**2).sum(axis=1))[:, None] + (self.cells**2).sum(axis=1)[None] - 2 * x @ self.cells.T
         own = squares.argmin(axis=1)
         gap = squares - squares[np.arange(len(x)), own][:, None]
-        apart = np.sqrt(np.maximum(((self.cells[own][:, None] - self.cells[None]) ** 2).sum(axis=2), 0))
-        return [np.flatnonzero(row) for row in gap <= 2 * (radius + SLACK) * apart + SLACK]
+        between = (self.cells**2).sum(axis=1)
+        between = between[:, None] + between[None] - 2 * self.cells @ self.cells.T
+        apart = np.sqrt(np.maximum(between, 0))[own]
+        return [np.flatnonzero(row) for row in gap <= 2 * (reach + SLACK) * apart + SLACK]
 
     def distances(self, x: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances: exact queries to coded vectors of a cell, by table lookup."""
@@ -125,9 +132,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, sample: int = S
     one node with a count. Cells and codebooks come from a sample of at most `sample` nodes,
     those of the smallest hashes; every node is indexed and every node is a query.
 
-    What is probed and kept follows from the triangle inequality: all cells that can hold a
-    vector within the radius, and in them all whose table distance is no more than the radius
-    and the vector's own coding error. So only exact cosines decide, and recall is complete.
+    A query probes the cells whose border is within MARGIN deviations of a random step of the
+    radius' length (in few dimensions: within the radius), however many these are. In them all
+    stay whose table distance is no more than the radius and the vector's own coding error,
+    by the triangle inequality. Exact cosines decide then. No list and no candidate is cut.
 
     Cells are dealt out as blocks of lists against blocks of queries, so a hot cell is spread
     over many tasks. A block pair returns counts, and its links as stars of their components,
@@ -188,12 +196,16 @@ def _links(nodes: DataFrame, d: int, n: int, threshold: float, sample: int) -> t
         for part in parts:
             for at in range(0, len(part), 256):
                 some = part.iloc[at : at + 256]
-                cells = shared.value.probes(np.array(some["unit"].tolist()), radius)
-                yield some[["node", "label", "unit"]].assign(cell=cells).explode("cell").astype({"cell": "int64"})
+                near = shared.value.probes(np.array(some["unit"].tolist()), radius)
+                cells = [own[own >= home] for own, home in zip(near, some["cell"], strict=True)]
+                named = some[["node", "label", "unit", "n"]].assign(home=some["cell"], cell=cells)
+                yield named.explode("cell").dropna(subset="cell").astype({"cell": "int64"})
 
     schema = "label long, unit array<double>, node long, n long"
     lists = stored(nodes.mapInPandas(index, schema + ", cell long, codes binary, miss double"), "lists")
-    queries = stored(nodes.mapInPandas(probe, "node long, label long, unit array<double>, cell long"), "probes")
+    # Of two cells the lower one's vectors ask; links are counted at both ends.
+    asked_for = "node long, label long, unit array<double>, n long, home long, cell long"
+    queries = stored(lists.select("node", "label", "unit", "n", "cell").mapInPandas(probe, asked_for), "probes")
     key = ["label", "cell"]
     sizes = lists.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_lists")).join(
         queries.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_queries")), key
@@ -224,10 +236,13 @@ def _links(nodes: DataFrame, d: int, n: int, threshold: float, sample: int) -> t
             i, j = np.nonzero(kept[at : at + 64])
             linked[at + i, j] = np.einsum("ij,ij->i", x[at + i], y[j]) >= threshold
         counts = linked @ held["n"].to_numpy()
+        away = asked["home"].to_numpy() != int(asked["cell"].iloc[0])
+        back = linked[away].T @ asked["n"].to_numpy()[away]
         pairs = _local(linked, a, b)
         # Rows with v = -1 count links of u; the others are links.
+        ends, counts = np.concatenate([a, b]), np.concatenate([counts, back])
         own = counts > 0
-        rows = [(a[own], np.full(own.sum(), -1), counts[own]), (pairs[:, 0], pairs[:, 1], np.zeros(len(pairs)))]
+        rows = [(ends[own], np.full(own.sum(), -1), counts[own]), (pairs[:, 0], pairs[:, 1], np.zeros(len(pairs)))]
         u, v, m = (np.concatenate(c).astype(np.int64) for c in zip(*rows, strict=True))
         return pd.DataFrame({"u": u, "v": v, "n": m, "is_count": np.arange(len(u)) < own.sum()})
 
