@@ -18,7 +18,6 @@ MOST_CELLS = 4096
 PARTS = 8  # subspaces of a residual
 CODES = 64  # codewords of a subspace
 BLOCK = 512  # vectors of a list, or queries, that meet in one step
-MARGIN = 4.0  # deviations of a random step that probes reach; recall is measured in the tests
 SLACK = 1e-6  # for rounding; the exact cosine decides
 
 
@@ -59,23 +58,23 @@ class Quantiser:
             out[:, c] = b[codes[:, k]]
         return out
 
-    def probes(self, x: np.ndarray, radius: float) -> list[np.ndarray]:
-        """The cells in which a vector within `radius` of x may be, MARGIN deviations far.
+    def margins(self, x: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """How far each x is at least from the border between its cell and every other one.
 
-        It is nearer to its own cell's centroid c than to x's c', so the way from x to it
-        passes the plane between both, which is (|x-c|^2 - |x-c'|^2) / (2 |c-c'|) away. A
-        step of length `radius` in any of d dimensions goes radius / sqrt(d) along the
-        plane's normal in the mean square; where MARGIN such steps are longer than `radius`,
-        the latter bounds it without exception.
+        x is nearer to its own centroid c than to c', so it is (|x-c'|^2 - |x-c|^2) / (2 |c-c'|)
+        away from the plane between both. Rounding makes it smaller, not larger.
         """
-        reach = radius * min(1.0, MARGIN / np.sqrt(x.shape[1]))
         squares = ((x**2).sum(axis=1))[:, None] + (self.cells**2).sum(axis=1)[None] - 2 * x @ self.cells.T
-        own = squares.argmin(axis=1)
-        gap = squares - squares[np.arange(len(x)), own][:, None]
+        gap = squares - squares[np.arange(len(x)), home][:, None]
         between = (self.cells**2).sum(axis=1)
         between = between[:, None] + between[None] - 2 * self.cells @ self.cells.T
-        apart = np.sqrt(np.maximum(between, 0))[own]
-        return [np.flatnonzero(row) for row in gap <= 2 * (reach + SLACK) * apart + SLACK]
+        apart = np.sqrt(np.maximum(between, 0))[home]
+        return np.maximum(gap - SLACK, 0) / (2 * np.maximum(apart, SLACK))
+
+    def probes(self, x: np.ndarray, radius: float) -> list[np.ndarray]:
+        """The cells in which a vector within `radius` of x may be: the way to it passes the
+        plane between both cells, which is no farther than the vector itself."""
+        return [np.flatnonzero(row) for row in self.margins(x, _nearest(x, self.cells)) <= radius + SLACK]
 
     def distances(self, x: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances: exact queries to coded vectors of a cell, by table lookup."""
@@ -132,10 +131,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, sample: int = S
     one node with a count. Cells and codebooks come from a sample of at most `sample` nodes,
     those of the smallest hashes; every node is indexed and every node is a query.
 
-    A query probes the cells whose border is within MARGIN deviations of a random step of the
-    radius' length (in few dimensions: within the radius), however many these are. In them all
-    stay whose table distance is no more than the radius and the vector's own coding error,
-    by the triangle inequality. Exact cosines decide then. No list and no candidate is cut.
+    A query probes the cells whose border is within the radius, however many these are. Two
+    vectors of two cells are at least as far apart as both are from the border between these,
+    so a probe is left out only if the vector of its label on the other side that is nearest
+    to the border, of all there are, is too far for it. In the cells all stay whose table
+    distance is no more than the radius and the vector's own coding error, by the triangle
+    inequality. Exact cosines decide then. No list and no candidate is cut.
 
     Cells are dealt out as blocks of lists against blocks of queries, so a hot cell is spread
     over many tasks. A block pair returns counts, and its links as stars of their components,
@@ -196,16 +197,26 @@ def _links(nodes: DataFrame, d: int, n: int, threshold: float, sample: int) -> t
         for part in parts:
             for at in range(0, len(part), 256):
                 some = part.iloc[at : at + 256]
-                near = shared.value.probes(np.array(some["unit"].tolist()), radius)
-                cells = [own[own >= home] for own, home in zip(near, some["cell"], strict=True)]
-                named = some[["node", "label", "unit", "n"]].assign(home=some["cell"], cell=cells)
-                yield named.explode("cell").dropna(subset="cell").astype({"cell": "int64"})
+                home = some["home"].to_numpy()
+                far = shared.value.margins(np.array(some["unit"].tolist()), home)
+                i, cell = np.nonzero(far <= radius + SLACK)
+                i, cell = i[cell != home[i]], cell[cell != home[i]]
+                yield some[["row", "label", "home"]].iloc[i].assign(cell=cell, margin=far[i, cell])
 
     schema = "label long, unit array<double>, node long, n long"
     lists = stored(nodes.mapInPandas(index, schema + ", cell long, codes binary, miss double"), "lists")
+    asking = lists.select("label", "unit", "node", "n", F.col("cell").alias("home"), F.xxhash64("label", "unit").alias("row"))
+    ways = stored(asking.mapInPandas(probe, "row long, label long, home long, cell long, margin double"), "probes")
     # Of two cells the lower one's vectors ask; links are counted at both ends.
-    asked_for = "node long, label long, unit array<double>, n long, home long, cell long"
-    queries = stored(lists.select("node", "label", "unit", "n", "cell").mapInPandas(probe, asked_for), "probes")
+    least = ways.filter("home > cell").groupBy("label", F.col("home").alias("cell"), F.col("cell").alias("home")).agg(
+        F.min("margin").alias("least")
+    )
+    across = ways.filter("home < cell").join(least, ["label", "home", "cell"]).filter(
+        F.col("margin") + F.col("least") <= radius + SLACK
+    )
+    asked_for = ["node", "label", "unit", "n", "home", "cell"]
+    away = across.select("row", "label", "home", "cell").join(asking, ["row", "label", "home"]).select(*asked_for)
+    queries = stored(away.unionByName(asking.withColumn("cell", F.col("home")).select(*asked_for)), "queries")
     key = ["label", "cell"]
     sizes = lists.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_lists")).join(
         queries.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_queries")), key

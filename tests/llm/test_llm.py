@@ -254,6 +254,22 @@ def test_embeddings_against_brute_force(spark):
     assert embeddings.near_duplicates(frame.filter("vec_id < 0")).count() == 0
 
 
+def test_embeddings_of_low_rank_against_brute_force(spark):
+    """Steps between linked vectors lie in few of many dimensions, along the cells' normals."""
+    draw = np.random.default_rng(8)
+    flat = draw.normal(size=(1200, 3)) @ np.linalg.qr(draw.normal(size=(384, 3)))[0].T
+    u = flat / np.linalg.norm(flat, axis=1)[:, None]
+    labels = draw.integers(0, 3, 1200)
+    frame = spark.createDataFrame([(i, x.tolist(), int(labels[i])) for i, x in enumerate(u)], "vec_id long, embedding array<double>, label int")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(frame).collect()}
+    linked = (u @ u.T >= 0.98) & (labels[:, None] == labels[None])
+    np.fill_diagonal(linked, False)
+    root = np.arange(1200)
+    while (root != (new := np.minimum(root, np.where(linked, root[None], 9999).min(axis=1)))).any():
+        root = new
+    assert all(found[i] == (linked[i].sum(), root[i]) for i in range(1200))
+
+
 def test_models_learn_and_stand_odd_rows(spark, docs, none):
     bad = [(i, f"word{i % 50} text{i % 7} " + ("scoundrel them" if i % 3 == 0 else "friend them"), "en" if i % 2 else "fr") for i in range(600)]
     bad = [(i, t if lang == "en" else t.replace("word", "çôté"), lang) for i, t, lang in bad]
