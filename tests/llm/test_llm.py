@@ -227,6 +227,37 @@ def test_compact_windows_cover_each_run_once():
         assert len(own) == 1 and h[c[own[0]]] == h[a:b].min()
 
 
+def test_equal_passages_that_hold_a_frequent_line(spark):
+    """Each passage is in two documents; its last words are a line of 60 others too."""
+    draw = np.random.default_rng(3)
+    word = lambda n: [f"r{k}" for k in draw.integers(0, 1 << 40, n)]
+    texts, pairs = [], set()
+    for size in (26, 34, 42):
+        line = word(size)
+        texts += [" ".join(word(20) + line + word(20)) for _ in range(60)]
+        for _ in range(10):
+            passage = word(60 - size) + line
+            pairs.add((len(texts), len(texts) + 1))
+            texts += [" ".join(word(30) + passage + word(30)) for _ in range(2)]
+    runs = {}
+    for i, t in enumerate(texts):
+        words = t.split()
+        for k in range(len(words) - 49):
+            runs.setdefault(tuple(words[k : k + 50]), set()).add(i)
+    assert {tuple(sorted(r)) for r in runs.values() if len(r) > 1} == pairs
+    rows = passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {tuple(sorted((r.doc_id, r.other_id))): r for r in rows}
+    assert pairs <= set(found)
+    assert all(found[p].end - found[p].start >= 60 for p in pairs)
+
+
+def test_passages_side_by_side_in_one_document_only():
+    x = np.random.default_rng(4).integers(0, 1 << 60, 120).astype(np.uint64)
+    other = np.random.default_rng(5).integers(0, 1 << 60, 300).astype(np.uint64)
+    y = np.concatenate([x[:60], other, x[60:]])
+    assert passages.shared_passages(x, y) == [(0, 60, 0, 60, 1.0), (60, 120, 360, 420, 1.0)]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 30)] + [(7, 7), (None, 3)]
     found = {r.node: r.root for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
