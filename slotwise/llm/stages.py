@@ -19,19 +19,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter("_toxicity < 0.3").drop("_toxicity")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With a key of id and text, never null: ids may be shared or null, and rows that are
+    equal in both have one decision."""
+    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the smallest id stays; null ids stay."""
-    groups = set_join.jaccard_components(docs)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    """Of each group of linked documents the one of the smallest id stays, one of a null id
+    only if no other is there. Rows of one id with texts that don't link all stay."""
+    keyed = _keyed(docs)
+    groups = set_join.jaccard_components(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    groups = groups.select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    ids = keyed.select("_key", "doc_id").distinct().join(groups, "_key")
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "_key")).alias("first"))
+    kept = keyed.join(first.select("first._key"), "_key", "left_semi").dropDuplicates(["_key"])
+    return kept.select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an occurrence of a benchmark window stay."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.filter("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    keyed = _keyed(docs)
+    found = decontamination.contamination(
+        keyed.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")
+    )
+    hit = found.filter("n_hit > 0").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(hit, "_key", "left_anti").select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
