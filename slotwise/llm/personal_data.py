@@ -296,7 +296,8 @@ _SPACES[[c for c in range(0x3001) if chr(c).isspace()]] = True
 
 
 def _plausible(kind: str, text: str) -> bool:
-    """Marks that an added span must bear besides its label."""
+    """Marks that an added span must bear besides its label; cards and ips have none and are
+    not added."""
     digits = len(_digits(text))
     if kind == "phone":
         return 7 <= digits <= 15 and re.fullmatch(r"[+()\x20.0-9/-]+", text) is not None
@@ -372,6 +373,9 @@ FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string,
 def personal_data(docs: DataFrame, tagger: Tagger | None = None, text: str = "text") -> Column:
     """Struct of FOUND for each whole text: counts and digest of the base spans, all spans.
 
+    The field adds only spans of phones and emails. It labels cards and ips too, but no marks
+    tell these from other numbers, so they come from the fixed patterns alone.
+
     Null texts are empty and have no spans. Only the text is looked at, so null ids, repeated
     rows and further columns change nothing.
     """
