@@ -12,6 +12,7 @@ from . import (
     decontamination,
     embeddings,
     languages,
+    merkle,
     packing,
     passages,
     personal_data,
@@ -105,6 +106,26 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampered rows have one more in n_chars; a null id or count is never tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    ours = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    more = (F.col("n_chars").cast("decimal(38,0)") + 1).cast("string")
+    chars = F.when(ours, more).otherwise(F.col("n_chars").cast("string"))
+    claimed = merkle.leaf(*(chars if c == "n_chars" else F.col(c) for c in columns))
+    made = merkle.manifest(docs, columns, "lang", "doc_id", doc_id=F.col("doc_id"), claimed=claimed)
+    root = merkle.folded(F.col("claimed"), F.col("path"), F.col("siblings"))
+    return merkle.proofs(made).select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(F.array_join("siblings", "").cast("binary"), 256).alias("proof_sha256"),
+        root.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -117,6 +138,7 @@ def queries() -> dict[str, Query]:
         "op8_secrets": op8_secrets,
         "op9_embeddings": op9_embeddings,
         "op10_passages": op10_passages,
+        "op11_merkle": op11_merkle,
     }
 
 

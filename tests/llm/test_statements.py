@@ -22,7 +22,7 @@ pytestmark = pytest.mark.skipif(DATA is None, reason="no test data")
 
 
 def test_which_have_a_statement():
-    assert set(llm.oracle_sql()) == {"op2_decontamination", "op8_secrets"}
+    assert set(llm.oracle_sql()) == {"op2_decontamination", "op8_secrets", "op11_merkle"}
     assert llm.oracle_sql().items() <= entry.oracle_sql().items()
 
 
