@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    alignment,
     decontamination,
     embeddings,
     languages,
@@ -126,6 +127,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path_a, path_b = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.alignment(table(spark, sf_dir, "documents"), path_a, path_b)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -139,6 +145,7 @@ def queries() -> dict[str, Query]:
         "op9_embeddings": op9_embeddings,
         "op10_passages": op10_passages,
         "op11_merkle": op11_merkle,
+        "op12_alignment": op12_alignment,
     }
 
 
