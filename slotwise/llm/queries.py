@@ -17,6 +17,7 @@ from . import (
     packing,
     passages,
     personal_data,
+    repeats,
     secrets,
     set_join,
     statements,
@@ -132,6 +133,18 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(table(spark, sf_dir, "documents"), path_a, path_b)
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -146,6 +159,7 @@ def queries() -> dict[str, Query]:
         "op10_passages": op10_passages,
         "op11_merkle": op11_merkle,
         "op12_alignment": op12_alignment,
+        "op13_repeats": op13_repeats,
     }
 
 
