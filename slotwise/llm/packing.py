@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import bounded_batches, slices, stored
-from .tokenize import WordEncoder
+from .tokenize import word_encoder
 
 SIZE = 4096
 END = 1  # id after each document
@@ -188,7 +188,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         end = np.array([END], dtype="<u4").tobytes()
         for part in parts:
             found = (ids for texts in slices(part["text"]) for ids in encoder.ids(texts))

@@ -132,3 +132,9 @@ class WordEncoder:
             else np.frombuffer(b"".join(map(get, chunks)), dtype="<u4")
             for t, chunks in zip(texts, cut, strict=True)
         ]
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of this worker process, which its tasks use one after the other."""
+    return WordEncoder(path)
