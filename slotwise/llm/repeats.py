@@ -88,6 +88,7 @@ class Names:
 
 # ---- blocks -----------------------------------------------------------------------------
 
+_TEXTS = ("block", "doc_id", "size", "data")
 _BLOCKS = "block long, doc_id array<long>, size array<long>, digest array<binary>, data binary"
 
 
@@ -187,7 +188,7 @@ def _runs(block: int, names: np.ndarray, bits: int) -> pa.Table:
     bucket = (names >> np.uint64(64 - bits)).astype(np.int64)
     here, firsts = np.unique(bucket, return_index=True)
     parts = []
-    for b, i, j in zip(here, firsts, [*firsts[1:], len(names)], strict=True):
+    for i, j in zip(firsts, np.append(firsts, len(names))[1:], strict=True):
         rest = (names[i:j] & np.uint64((1 << 64 - bits) - 1)).astype(np.int64)
         parts.append(packed(np.diff(rest, prepend=0)))
     columns = [np.full(len(here), block), here.astype(np.int32), pa.array(parts, pa.binary())]
@@ -315,6 +316,23 @@ def _whole_copies(blocks: DataFrame) -> DataFrame:
     return copies.mapInPandas(write, _MARKS)
 
 
+# Jobs of their own functions, so that no plan of theirs is held and their shuffle files go.
+
+
+def _in_blocks(docs: DataFrame) -> DataFrame:
+    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text")]
+    ordered = plain.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stored(ordered.mapInArrow(_blocks, _BLOCKS), "text-blocks")
+
+
+def _marks(blocks: DataFrame, marks: DataFrame, kind: int, names) -> DataFrame:
+    """One pass over the blocks, whose runs of names are sorted bucket by bucket."""
+    known = marks.filter(F.col("kind") < 2).groupBy("block")
+    runs = blocks.select(*_TEXTS).groupBy("block").cogroup(known).applyInArrow(names, _RUNS)
+    return stored(runs.groupBy("bucket").applyInArrow(_sorted_bucket(kind), _MARKS), "suffix-marks")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per document: its UTF-8 bytes' number, the spans [start, end) that repeat, and the rest.
 
@@ -333,20 +351,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text")]
-    ordered = plain.repartitionByRange(*order).sortWithinPartitions(*order)
-    blocks = stored(ordered.mapInArrow(_blocks, _BLOCKS), "text-blocks")
+    blocks = _in_blocks(docs)
     release(spark)
     total = blocks.agg(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0] or 0
     bits = max(4, (total * len(COVER) // PERIOD // BUCKET).bit_length())
-    texts = blocks.select("block", "doc_id", "size", "data")
     marks = stored(_whole_copies(blocks), "whole-copies")
-    passes = [(1, _sample_pass(bits)), *((2 + k, _suffix_pass(bits, k)) for k in range(NAMINGS))]
-    for kind, names in passes:
-        known = marks.filter(F.col("kind") < 2).groupBy("block")
-        runs = texts.groupBy("block").cogroup(known).applyInArrow(names, _RUNS)
-        found = runs.groupBy("bucket").applyInArrow(_sorted_bucket(kind), _MARKS)
-        marks = marks.unionByName(stored(found, "suffix-marks"))
+    for kind, names in [(1, _sample_pass(bits)), *((2 + k, _suffix_pass(bits, k)) for k in range(NAMINGS))]:
+        marks = marks.unionByName(_marks(blocks, marks, kind, names))
         release(spark)
-    return texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_last_pass(bits), _FOUND)
+    texts = blocks.select(*_TEXTS).groupBy("block")
+    return texts.cogroup(marks.groupBy("block")).applyInArrow(_last_pass(bits), _FOUND)

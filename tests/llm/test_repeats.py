@@ -70,3 +70,11 @@ def test_the_cover_has_all_distances():
     v = repeats.PERIOD
     assert {(x - y) % v for x in repeats.COVER for y in repeats.COVER} == set(range(v))
     assert max(repeats.COVER) < v < repeats.LENGTH
+
+
+def test_blocks_without_ties(spark):
+    """Also where no sample string repeats, so a pass has no names at all."""
+    rows = [(i, "".join(chr(97 + (i * 31 + k * k * (i + 3)) % 26) for k in range(150))) for i in range(3)]
+    docs = spark.createDataFrame([(*r, 9, 8, "x", 7) for r in rows], SCHEMA).repartition(3)
+    found = repeats.remove_repeats(docs).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_bytes, r.spans, bytes(r.kept)) for r in found] == brute(rows)
