@@ -12,14 +12,13 @@ merged before the journal is consulted.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions.clock import age_within, clock_text, week_day
 from slotwise.operators.reads import live
+from slotwise.plans.asof import nearest, reached
 from slotwise.plans.lineage import durable
 from slotwise.plans.ranking import ID_RANGE, count_before
 from slotwise.plans.skew import hot_keys, spread_join
@@ -29,6 +28,7 @@ from slotwise.sources.clinic import Clinic, read_table, tickets_after, write_tab
 POLICY = 4  # document type of the health policy
 BOOKED = 0
 CANCELLED = 1
+MIN_LONG = -(2**63)
 TICKET = ["id_ticket"]
 PATIENT = ["id_patient"]
 
@@ -255,16 +255,25 @@ def tickets_after_cancel(clinic: Clinic, decisions: DataFrame) -> DataFrame:
 
 
 def booking_log(
-    clinic: Clinic, log: DataFrame, as_of: dt.datetime, *, week_start: int = 1
+    clinic: Clinic,
+    log: DataFrame,
+    as_of: dt.datetime,
+    *,
+    week_start: int = 1,
+    semantics: str = "intended",
 ) -> DataFrame:
-    """Decisions for requests and cancels mixed in one order, with intended semantics.
+    """Decisions for requests and cancels mixed in one order.
 
-    Whether patient and ticket fit does not change during a batch and is decided by joins
+    Literal: see `_literal_log`. Intended: whether patient and ticket fit does not change during a batch and is decided by joins
     first. What is left depends on the earlier calls for the same ticket only. A ticket
     without a cancel that could succeed goes to its first free request, an aggregate. For
     the others, calls that cannot succeed whatever happened before are taken out by
-    aggregates, and the rest is followed call by call.
+    aggregates, and the rest is chained from cancel to request.
     """
+    if semantics == "literal":
+        return _with_accepted(log, _literal_log(clinic, log, as_of, week_start))
+    if semantics != "intended":
+        raise ValueError(f"semantics is 'literal' or 'intended', not {semantics!r}")
     hot_tickets, hot_patients, hot_pairs = hot_keys(log, TICKET, PATIENT, PAIR)
     is_request, is_cancel = F.col("op") == "request", F.col("op") == "cancel"
     ahead = _tickets_ahead(clinic, as_of)
@@ -310,7 +319,7 @@ def booking_log(
     rounds = durable(
         count_before(both, is_cancel, TICKET, "seq", "_round")
         .filter(is_request)
-        .select(*PAIR, "seq", "closed", "_new", "_round")
+        .select(*PAIR, "seq", "closed", "_held", "_new", "_round")
     )
     a_round = [*TICKET, "_round"]
     newcomers = _first_requests(rounds.filter("_new"), a_round)
@@ -320,71 +329,136 @@ def booking_log(
         repeats, limits, a_round, hot_tickets, "seq", "left", hot_on=TICKET
     ).filter(F.col("_limit").isNull() | (F.col("seq") < F.col("_limit")))
 
-    chosen = [df.select(*PAIR, "seq", "closed", "op") for df in (cancels, newcomers, repeats)]
-    holders = _booked(clinic).join(contested, TICKET, "left_semi")
-    followed = _follow(chosen[0].unionByName(chosen[1]).unionByName(chosen[2]), holders)
+    parts = (cancels, newcomers, repeats)
+    followed = _chained(*(df.select(*PAIR, "seq", "closed", "op", "_held") for df in parts))
     return _with_accepted(log, winners.select("seq").unionByName(followed))
 
 
 def _first_requests(requests: DataFrame, by: list[str]) -> DataFrame:
     """The first request of each group; numbers only, so a hash aggregate combines them."""
-    rest = [c for c in (*PAIR, "closed") if c not in by]
+    rest = [c for c in (*PAIR, "closed", "_held") if c not in by]
     firsts = [F.min_by(c, "seq").alias(c) for c in rest]
     found = requests.groupBy(*by).agg(F.min("seq").alias("seq"), *firsts)
     return found.withColumn("op", F.lit("request"))
 
 
-def _follow(calls: DataFrame, holders: DataFrame) -> DataFrame:
-    """Accepted `seq` of the contested tickets.
+def _chained(*calls: DataFrame) -> DataFrame:
+    """Accepted `seq` of the contested tickets' calls, without following them one by one.
+
+    A cancel ends what its patient holds, so an accepted request lasts until the patient's next
+    cancel, and right after a cancel that succeeds the ticket goes to the next request of a
+    patient who does not hold it. Both are found for every request whether it is accepted or
+    not: a request has one successor, and those accepted are what the successors lead to from
+    the start (an open ticket, the first cancels of the holders from before). They compose, so
+    one ticket's calls are spread like any others.
 
-    Rows stream through in the order of ticket and call; only the current ticket's flag and
-    holders are kept, never a whole group.
+    Who holds the ticket already cannot ask again; that depends on the accepted requests
+    before, so it is taken from the round before until it changes nothing. Each round is right
+    at least up to the first call that the round before had wrong, and where a ticket has one
+    holder at a time, the second round changes nothing that matters.
     """
-    # Holders come before the calls of their ticket; nothing is null, so numbers stay whole.
-    before = holders.select(
-        *PAIR,
-        F.lit(0).cast("long").alias("seq"),
-        F.lit(0).alias("closed"),
-        F.lit("hold").alias("op"),
-    )
-    ordered = (
-        calls.unionByName(before)
-        .repartition("id_ticket")
-        .sortWithinPartitions("id_ticket", F.col("op") != "hold", "seq")
+    is_request, is_cancel = F.col("op") == "request", F.col("op") == "cancel"
+    rows = calls[0]
+    for more in calls[1:]:
+        rows = rows.unionByName(more)
+    cancel = F.when(is_cancel, F.col("seq"))
+    rows = nearest(rows, cancel, PAIR, "seq", "_cancel_before")
+    rows = nearest(rows, cancel, PAIR, "seq", "_cancel_after", after=True)
+    early = F.col("_held") & F.col("_cancel_before").isNull()
+    rows = durable(rows.withColumn("_blocked", is_request & early))
+    while True:
+        able = F.when(is_request & ~F.col("_blocked"), F.col("seq"))
+        led = durable(nearest(rows, able, TICKET, "seq", "_next", after=True))
+        first = (
+            led.filter((F.col("closed") == 0) & is_request & ~F.col("_blocked"))
+            .groupBy(*TICKET)
+            .agg(F.min("seq").alias("seq"))
+            .select("seq")
+        )
+        freed = led.filter(is_cancel & early & F.col("_next").isNotNull())
+        ends = led.filter(is_cancel).select(F.col("seq").alias("_cancel_after"), F.col("_next").alias("target"))
+        steps = led.filter(is_request).join(ends, "_cancel_after").select("seq", "target")
+        won = reached(first.union(freed.select(F.col("_next").alias("seq"))), steps)
+        rows = rows.drop("_won").join(won.withColumn("_won", F.lit(True)), "seq", "left")
+        rows = rows.withColumn("_won", F.coalesce("_won", F.lit(False)))
+        asked = nearest(rows, F.when(F.col("_won"), F.col("seq")), PAIR, "seq", "_won_before")
+        holds = F.coalesce(F.col("_won_before") > F.coalesce("_cancel_before", F.lit(MIN_LONG)), F.lit(False))
+        again = durable(
+            asked.withColumn("_held_now", holds | early)
+            .withColumn("_was", F.col("_blocked"))
+            .withColumn("_blocked", is_request & F.col("_held_now"))
+        )
+        if again.filter(F.col("_was") != F.col("_blocked")).isEmpty():
+            useful = F.col("_won") | (is_cancel & F.col("_held_now"))
+            return again.filter(useful).select("seq")
+        rows = again.drop("_held_now", "_was", "_won_before")
+
+
+def _literal_log(
+    clinic: Clinic, log: DataFrame, as_of: dt.datetime, week_start: int
+) -> DataFrame:
+    """Accepted `seq` of a mixed log as written: an acceptance makes every journal row active
+    and adds none.
+
+    So a pair of the journal is active at a call if some request was accepted, whoever's, since
+    the pair's last cancel before the call, and pairs without a row can neither be active nor
+    cancel. Given which requests are accepted, the status of each call and then its decision
+    follow from the nearest calls before it; the rounds begin with all requests that fit and
+    end when nothing changes. Each round is right at least up to the first call that the round
+    before had wrong.
+    """
+    hot_tickets, hot_patients, hot_pairs = hot_keys(log, TICKET, PATIENT, PAIR)
+    is_request, is_cancel = F.col("op") == "request", F.col("op") == "cancel"
+    ahead = _tickets_ahead(clinic, as_of)
+    fitting = _fitting(clinic, log.filter(is_request), ahead, as_of, hot_tickets, hot_patients)
+    requests = fitting.filter(_fits("literal")).drop("policies")
+    open_tickets = _cancellable(clinic, as_of, week_start).select("id_ticket", "closed")
+    cancels = spread_join(log.filter(is_cancel), open_tickets, TICKET, hot_tickets, "seq")
+    noted = clinic.patient_journals.select(*PAIR, (F.col("status") == BOOKED).alias("_active"))
+    columns = ["seq", "op", *PAIR, "closed", "_active"]
+    calls = durable(
+        spread_join(requests, noted, PAIR, hot_pairs, "seq", "left")
+        .select(*columns)
+        .unionByName(spread_join(cancels, noted, PAIR, hot_pairs, "seq").select(*columns))
     )
-    return ordered.mapInPandas(_follower(), "seq long")
-
-
-def _follower():
-    # An inner function travels to the workers by value, so they need not have this package.
-    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ticket, closed, holders = None, None, set()
-        for batch in batches:
-            accepted = []
-            columns = ("id_ticket", "id_patient", "seq", "closed", "op")
-            for t, patient, seq, was_closed, op in zip(*(batch[c] for c in columns)):
-                if t != ticket:
-                    ticket, closed, holders = t, None, set()
-                if op == "hold":
-                    holders.add(patient)
-                    continue
-                if closed is None:
-                    closed = bool(was_closed)
-                if op == "request" and not closed and patient not in holders:
-                    holders.add(patient)
-                    closed = True
-                    accepted.append(seq)
-                elif op == "cancel" and patient in holders:
-                    holders.discard(patient)
-                    closed = False
-                    accepted.append(seq)
-            yield pd.DataFrame({"seq": pd.Series(accepted, dtype="int64")})
-
-    return follow
-
-
-def journal_after_log(clinic: Clinic, decisions: DataFrame) -> DataFrame:
-    """The last accepted call of a pair gives its status."""
+    calls = nearest(calls, F.when(is_cancel, F.col("seq")), PAIR, "seq", "_cancel_before")
+    calls = durable(calls.withColumn("_won", is_request))
+    while True:
+        reset = nearest(calls, F.when(F.col("_won"), F.col("seq")), [], "seq", "_reset")
+        since = F.col("_reset") > F.col("_cancel_before")
+        fresh = F.col("_active") | F.col("_reset").isNotNull()
+        now = F.when(F.col("_cancel_before").isNull(), fresh).otherwise(F.coalesce(since, F.lit(False)))
+        known = F.col("_active").isNotNull()
+        useful = reset.withColumn("_useful", F.when(is_cancel, now).otherwise(~known | ~now))
+        # The last call before that could close or open the ticket, twice its number and one
+        # more for a cancel.
+        mark = F.when(F.col("_useful"), F.col("seq") * 2 + is_cancel.cast("long"))
+        marked = nearest(useful, mark, TICKET, "seq", "_last")
+        is_open = F.coalesce(F.pmod("_last", F.lit(2)) == 1, F.col("closed") == 0)
+        again = durable(
+            marked.withColumn("_was", F.col("_won"))
+            .withColumn("_won", is_request & F.col("_useful") & is_open)
+            .drop("_last", "_reset")
+        )
+        if again.filter(F.col("_was") != F.col("_won")).isEmpty():
+            return again.filter(F.col("_won") | (is_cancel & F.col("_useful"))).select("seq")
+        calls = again.drop("_was", "_useful")
+
+
+def journal_after_log(
+    clinic: Clinic, decisions: DataFrame, *, semantics: str = "intended"
+) -> DataFrame:
+    """The last accepted call of a pair gives its status. Literal: a row is cancelled if its
+    last accepted cancel is later than the last acceptance at all, else active if there was
+    any; no row is added."""
+    if semantics == "literal":
+        done = decisions.filter("accepted")
+        reset = done.filter(F.col("op") == "request").agg(F.max("seq")).scalar()
+        ended = done.filter(F.col("op") == "cancel").groupBy(*PAIR).agg(F.max("seq").alias("_end"))
+        after = F.col("_end") > F.coalesce(reset, F.lit(MIN_LONG))
+        status = F.when(after, CANCELLED).when(reset.isNotNull(), BOOKED).otherwise(F.col("status"))
+        joined = clinic.patient_journals.join(ended, PAIR, "left")
+        return joined.select(*PAIR, status.cast("int").alias("status"))
     last = decisions.filter("accepted").groupBy(*PAIR).agg(_last_op().alias("_op"))
     status = F.when(F.col("_op") == "cancel", CANCELLED).otherwise(BOOKED)
     return journal_snapshot(
@@ -409,25 +483,26 @@ def store_batch(
     root: str,
     *,
     kind: str,
-    semantics: str = "literal",
+    semantics: str | None = None,
 ) -> Clinic:
     """Write the decisions and the new tickets and journal below the new folder `root`.
 
     The decisions are written first and read back, so both snapshots follow from the same
-    stored rows whatever happens to the executors. `kind` is "booking", "cancel" or "log".
+    stored rows whatever happens to the executors. `kind` is "booking", "cancel" or "log"; `semantics`
+    is that of the decisions, by default literal for bookings and intended for a log, as there.
     Returns the clinic with the new tables.
     """
     spark = decisions.sparkSession
     decisions.write.parquet(f"{root}/decisions")
     stored = spark.read.schema(decisions.schema).parquet(f"{root}/decisions")
     if kind == "booking":
-        journal = journal_after_booking(clinic, stored, semantics=semantics)
+        journal = journal_after_booking(clinic, stored, semantics=semantics or "literal")
         tickets = tickets_after_booking(clinic, stored)
     elif kind == "cancel":
         journal = journal_after_cancel(clinic, stored)
         tickets = tickets_after_cancel(clinic, stored)
     elif kind == "log":
-        journal = journal_after_log(clinic, stored)
+        journal = journal_after_log(clinic, stored, semantics=semantics or "intended")
         tickets = tickets_after_log(clinic, stored)
     else:
         raise ValueError(f"unknown kind {kind!r}")

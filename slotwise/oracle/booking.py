@@ -124,6 +124,55 @@ _LOG_STEPS = {
 }
 
 
+# As written, an acceptance makes all rows active. Given the acceptances of one step, the next
+# follows call by call from windows and as-of joins; the last two steps have to agree.
+_LITERAL_STEPS = 5
+
+
+def _literal_log_steps() -> dict[str, str]:
+    fitting = _MATCHES.format(calls="(SELECT * FROM booking_log WHERE op = 'request')", extra="")
+    steps = {
+        "fitting": f"SELECT * FROM ({fitting}) WHERE n = 1",
+        "cancellable": _CANCELLABLE,
+        "calls": """
+            SELECT *, max(seq) FILTER (op = 'cancel') OVER (
+                       PARTITION BY id_patient, id_ticket ORDER BY seq
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended
+            FROM (SELECT f.seq, 'request' AS op, id_patient, id_ticket, closed, j.status
+                  FROM fitting f LEFT JOIN patient_journals j USING (id_patient, id_ticket)
+                  UNION ALL
+                  SELECT c.seq, c.op, id_patient, id_ticket, closed, j.status
+                  FROM booking_log c JOIN cancellable USING (id_ticket)
+                  JOIN patient_journals j USING (id_patient, id_ticket)
+                  WHERE c.op = 'cancel')""",
+        "won_0": "SELECT seq FROM calls WHERE op = 'request'",
+    }
+    for k in range(1, _LITERAL_STEPS + 1):
+        steps[f"state_{k}"] = f"""
+            SELECT c.*, CASE WHEN status IS NULL THEN op = 'request'
+                             WHEN ended IS NULL THEN (status = 0 OR g.seq IS NOT NULL) = (op = 'cancel')
+                             ELSE coalesce(g.seq > ended, FALSE) = (op = 'cancel') END AS useful
+            FROM calls c ASOF LEFT JOIN won_{k - 1} g ON c.seq > g.seq"""
+        steps[f"open_{k}"] = f"""
+            SELECT *, last_value(CASE WHEN useful THEN op END IGNORE NULLS) OVER (
+                          PARTITION BY id_ticket ORDER BY seq
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+            FROM state_{k}"""
+        steps[f"won_{k}"] = f"""
+            SELECT seq FROM open_{k} WHERE useful AND op = 'request'
+            AND CASE WHEN before IS NULL THEN closed = 0 ELSE before = 'cancel' END"""
+    last = _LITERAL_STEPS
+    steps["settled"] = f"""
+        SELECT CASE WHEN EXISTS (SELECT seq FROM won_{last} EXCEPT SELECT seq FROM won_{last - 1})
+                      OR EXISTS (SELECT seq FROM won_{last - 1} EXCEPT SELECT seq FROM won_{last})
+               THEN error('not settled') ELSE 1 END AS one"""
+    steps["winners"] = f"""
+        SELECT seq FROM (SELECT seq FROM won_{last}
+                         UNION ALL SELECT seq FROM state_{last} WHERE useful AND op = 'cancel')
+        WHERE (SELECT one FROM settled) = 1"""
+    return steps
+
+
 def _decisions(calls: str, columns: str = "") -> str:
     return f"""
     SELECT c.seq, c.id_patient, c.id_ticket, {columns}
@@ -169,6 +218,32 @@ def statements() -> dict[str, str]:
             last=_LAST.format(keys="id_ticket"),
         ),
     }
+    literal, last = _literal_log_steps(), _LAST.format(keys="id_ticket")
+    found |= {
+        "booking_log_literal": with_tables(_decisions("booking_log", "c.op,"), **literal),
+        "journal_after_log_literal": with_tables(
+            """
+            SELECT id_patient, id_ticket,
+                   CAST(CASE WHEN e.ended > coalesce(r.reset, -1) THEN 1
+                             WHEN r.reset IS NOT NULL THEN 0 ELSE j.status END AS INTEGER) AS status
+            FROM patient_journals j
+            LEFT JOIN (SELECT id_patient, id_ticket, max(seq) AS ended FROM booking_log
+                       JOIN winners USING (seq) WHERE op = 'cancel' GROUP BY ALL) e
+                USING (id_patient, id_ticket)
+            CROSS JOIN (SELECT max(seq) AS reset FROM booking_log
+                        JOIN winners USING (seq) WHERE op = 'request') r""",
+            **literal,
+        ),
+        "tickets_after_log_literal": with_tables(
+            """
+            SELECT t.id, t.id_doctor_speciality,
+                   coalesce((w.op = 'request')::INTEGER, t.closed) AS closed,
+                   t.time_begin, t.time_end
+            FROM tickets t LEFT JOIN last w ON w.id_ticket = t.id""",
+            **literal,
+            last=last,
+        ),
+    }
     for semantics in ("literal", "intended"):
         steps = _booking_steps(semantics)
         journal = _UPSERT.format(status=0)

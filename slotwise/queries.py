@@ -76,8 +76,8 @@ def _bookings() -> dict[str, Query]:
     def cancelled(c: Clinic) -> DataFrame:
         return booking.cancel_decisions(c, c.cancels, NOON)
 
-    def logged(c: Clinic) -> DataFrame:
-        return booking.booking_log(c, c.booking_log, NOON)
+    def logged(c: Clinic, semantics: str = "intended") -> DataFrame:
+        return booking.booking_log(c, c.booking_log, NOON, semantics=semantics)
 
     found: dict[str, Query] = {
         "booking_eligibility": lambda c: booking.booking_eligibility(c, c.requests, NOON),
@@ -87,6 +87,11 @@ def _bookings() -> dict[str, Query]:
         "booking_log": logged,
         "journal_after_log": lambda c: booking.journal_after_log(c, logged(c)),
         "tickets_after_log": lambda c: booking.tickets_after_log(c, logged(c)),
+        "booking_log_literal": lambda c: logged(c, "literal"),
+        "journal_after_log_literal": lambda c: booking.journal_after_log(
+            c, logged(c, "literal"), semantics="literal"
+        ),
+        "tickets_after_log_literal": lambda c: booking.tickets_after_log(c, logged(c, "literal")),
     }
     for s in SEMANTICS:
         found |= {

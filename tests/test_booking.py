@@ -8,7 +8,7 @@ from conftest import rows
 from model import World
 
 from slotwise.operators import booking
-from slotwise.plans import skew
+from slotwise.plans import asof, ranking, skew
 from slotwise.sources.lookups import AGE_GROUPS
 from slotwise.sources.schemas import LOG, REQUESTS
 
@@ -361,26 +361,74 @@ def random_log(rnd, n, patients=13, tickets=11, hot=None):
     return calls
 
 
-@pytest.mark.parametrize("seed, hot", [(0, None), (1, None), (2, 1), (3, 1)])
-def test_random_log(batch, spark, seed, hot):
+@pytest.mark.parametrize("semantics", booking_semantics())
+@pytest.mark.parametrize(
+    "seed, hot, reach", [(0, None, None), (3, 1, 16)]
+)
+def test_random_log(batch, spark, monkeypatch, seed, hot, reach, semantics):
+    """`reach`: call numbers of a range, so that one ticket's calls lie in many of them."""
+    if reach:
+        monkeypatch.setattr(asof, "ID_RANGE", reach)
+        monkeypatch.setattr(ranking, "ID_RANGE", reach)
     rnd = random.Random(seed)
     b = batch(random_tables(rnd))
     calls = random_log(rnd, 300, hot=hot)
     model = World(b.tables, AGE_GROUPS, AS_OF)
-    wanted = model.run(calls)
+    wanted = model.run(calls, semantics)
     log = spark.createDataFrame(calls, LOG)
-    decisions = booking.booking_log(b.clinic, log, AS_OF)
+    decisions = booking.booking_log(b.clinic, log, AS_OF, semantics=semantics)
     assert decisions.columns == [*LOG.names, "accepted"]
     compare(
         b,
         decisions,
         model,
         wanted,
-        booking.journal_after_log(b.clinic, decisions),
+        booking.journal_after_log(b.clinic, decisions, semantics=semantics),
         booking.tickets_after_log(b.clinic, decisions),
     )
 
 
+def test_literal_log_revives_cancelled_pairs(batch, spark):
+    """An acceptance anywhere makes a cancelled pair active, so it can be cancelled again but
+    not asked for."""
+    b = batch(base(patient_journals=booked((1, 1), (2, 1))))
+    calls = [
+        (1, "cancel", 1, 1),
+        (2, "cancel", 1, 1),  # cancelled already
+        (3, "request", 3, 2),  # accepted: pair (1, 1) is active again
+        (4, "request", 1, 1),  # refused for that
+        (5, "cancel", 1, 1),
+        (6, "request", 1, 1),  # open and cancelled: accepted, and active
+        (7, "cancel", 3, 2),  # no row was added, so there is none to cancel
+        (8, "cancel", 1, 1),
+    ]
+    decisions = booking.booking_log(
+        b.clinic, spark.createDataFrame(calls, LOG), AS_OF, semantics="literal"
+    )
+    assert accepted(decisions) == {1, 3, 5, 6, 8}
+    journal = booking.journal_after_log(b.clinic, decisions, semantics="literal")
+    assert sorted(rows(journal, "id_patient", "id_ticket", "status")) == [(1, 1, 1), (2, 1, 0)]
+    with pytest.raises(ValueError):
+        booking.booking_log(b.clinic, decisions, AS_OF, semantics="other")
+
+
+@pytest.mark.parametrize("semantics", booking_semantics())
+def test_long_chain_on_one_ticket(batch, spark, monkeypatch, semantics):
+    """A ticket that goes from hand to hand very often, in many ranges of calls."""
+    monkeypatch.setattr(asof, "ID_RANGE", 20)
+    monkeypatch.setattr(ranking, "ID_RANGE", 20)
+    b = batch(base(patient_journals=booked((1, 1), (2, 1))))
+    calls = []
+    for i in range(100):
+        patient = 1 + i % 2
+        calls += [(2 * i, "request", patient, 1), (2 * i + 1, "cancel", patient, 1)]
+    model = World(b.tables, AGE_GROUPS, AS_OF)
+    wanted = model.run(calls, semantics)
+    log = spark.createDataFrame(calls, LOG)
+    assert accepted(booking.booking_log(b.clinic, log, AS_OF, semantics=semantics)) == wanted
+    assert len(wanted) > 40
+
+
 def test_one_ticket_and_one_patient_hold_a_third_each(batch, monkeypatch):
     """Hot keys take the salted joins and the results stay whole."""
     rnd = random.Random(5)
@@ -390,6 +438,7 @@ def test_one_ticket_and_one_patient_hold_a_third_each(batch, monkeypatch):
         patient, ticket = rnd.randint(1, 60), rnd.randint(1, 60)
         calls.append((i, 7 if i % 3 == 0 else patient, 3 if i % 3 == 1 else ticket))
     monkeypatch.setattr(skew, "SHARE", 0.2)
+    monkeypatch.setattr(skew, "LEAST_ROWS", 100)
     hot_tickets, hot_patients = skew.hot_keys(b.calls(*calls), ["id_ticket"], ["id_patient"])
     assert len(hot_tickets) == 1 and len(hot_patients) == 1
     for semantics in booking_semantics():
