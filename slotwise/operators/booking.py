@@ -23,7 +23,8 @@ from slotwise.plans.lineage import durable
 from slotwise.plans.ranking import ID_RANGE, count_before
 from slotwise.plans.skew import hot_keys, spread_join
 from slotwise.plans.snapshots import PAIR, journal_snapshot, ticket_snapshot
-from slotwise.sources.clinic import Clinic, read_table, tickets_after, write_table
+from slotwise.sources.clinic import SLOT_MONTH, Clinic, read_table, tickets_after, write_table
+from slotwise.sources.versions import store_version
 
 POLICY = 4  # document type of the health policy
 BOOKED = 0
@@ -198,12 +199,20 @@ def journal_after_booking(
     return journal_snapshot(clinic.patient_journals, changes)
 
 
+def _ticket_changes(decisions: DataFrame, kind: str) -> DataFrame:
+    """(id_ticket, new_closed) of the accepted calls, one per ticket."""
+    done = decisions.filter("accepted")
+    if kind == "log":
+        last = done.groupBy("id_ticket").agg(_last_op().alias("_op"))
+        closed = F.when(F.col("_op") == "cancel", 0).otherwise(1)
+        return last.select("id_ticket", closed.alias("new_closed"))
+    closed = F.lit(1 if kind == "booking" else 0)
+    return done.select("id_ticket").distinct().withColumn("new_closed", closed)
+
+
 def tickets_after_booking(clinic: Clinic, decisions: DataFrame) -> DataFrame:
     """Accepted tickets are closed."""
-    changes = decisions.filter("accepted").select(
-        "id_ticket", F.lit(1).alias("new_closed")
-    )
-    return ticket_snapshot(clinic.tickets, changes)
+    return ticket_snapshot(clinic.tickets, _ticket_changes(decisions, "booking"))
 
 
 def _cancellable(clinic: Clinic, as_of: dt.datetime, week_start: int) -> DataFrame:
@@ -250,8 +259,7 @@ def journal_after_cancel(clinic: Clinic, decisions: DataFrame) -> DataFrame:
 
 def tickets_after_cancel(clinic: Clinic, decisions: DataFrame) -> DataFrame:
     """Accepted tickets are open again, also when another patient still holds them."""
-    changes = decisions.filter("accepted").select("id_ticket").distinct()
-    return ticket_snapshot(clinic.tickets, changes.withColumn("new_closed", F.lit(0)))
+    return ticket_snapshot(clinic.tickets, _ticket_changes(decisions, "cancel"))
 
 
 def booking_log(
@@ -468,9 +476,7 @@ def journal_after_log(
 
 def tickets_after_log(clinic: Clinic, decisions: DataFrame) -> DataFrame:
     """The last accepted call for a ticket leaves it closed or open."""
-    last = decisions.filter("accepted").groupBy("id_ticket").agg(_last_op().alias("_op"))
-    closed = F.when(F.col("_op") == "cancel", 0).otherwise(1)
-    return ticket_snapshot(clinic.tickets, last.select("id_ticket", closed.alias("new_closed")))
+    return ticket_snapshot(clinic.tickets, _ticket_changes(decisions, "log"))
 
 
 def _last_op() -> Column:
@@ -488,27 +494,28 @@ def store_batch(
     """Write the decisions and the new tickets and journal below the new folder `root`.
 
     The decisions are written first and read back, so both snapshots follow from the same
-    stored rows whatever happens to the executors. `kind` is "booking", "cancel" or "log"; `semantics`
-    is that of the decisions, by default literal for bookings and intended for a log, as there.
-    Returns the clinic with the new tables.
+    stored rows whatever happens to the executors. `kind` is "booking", "cancel" or "log";
+    `semantics` is that of the decisions, by default literal for bookings and intended for a
+    log, as there. Of tickets stored by month only the months that change are written, see
+    `versions.store_version`. Returns the clinic with the new tables.
     """
+    if kind not in ("booking", "cancel", "log"):
+        raise ValueError(f"unknown kind {kind!r}")
     spark = decisions.sparkSession
     decisions.write.parquet(f"{root}/decisions")
     stored = spark.read.schema(decisions.schema).parquet(f"{root}/decisions")
     if kind == "booking":
         journal = journal_after_booking(clinic, stored, semantics=semantics or "literal")
-        tickets = tickets_after_booking(clinic, stored)
     elif kind == "cancel":
         journal = journal_after_cancel(clinic, stored)
-        tickets = tickets_after_cancel(clinic, stored)
-    elif kind == "log":
+    else:
         journal = journal_after_log(clinic, stored, semantics=semantics or "intended")
-        tickets = tickets_after_log(clinic, stored)
+    write_table(journal, "patient_journals", f"{root}/patient_journals")
+    changes = durable(_ticket_changes(stored, kind))
+    if SLOT_MONTH in clinic.tickets.columns:
+        tickets = store_version(clinic.tickets, changes, root)
     else:
-        raise ValueError(f"unknown kind {kind!r}")
-    written = {"patient_journals": journal, "tickets": tickets}
-    for name, df in written.items():
-        write_table(df, name, f"{root}/{name}")
-    return clinic.replace(
-        **{name: read_table(spark, name, f"{root}/{name}") for name in written}
-    )
+        write_table(ticket_snapshot(clinic.tickets, changes), "tickets", f"{root}/tickets")
+        tickets = read_table(spark, "tickets", f"{root}/tickets")
+    journal = read_table(spark, "patient_journals", f"{root}/patient_journals")
+    return clinic.replace(tickets=tickets, patient_journals=journal)

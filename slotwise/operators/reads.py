@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from slotwise.functions.clock import clock_text, week_day
 from slotwise.functions.text import blank_to_none
+from slotwise.plans.order import numbered
 from slotwise.plans.ranking import with_position
 from slotwise.sources.clinic import Clinic, tickets_after
 
@@ -134,7 +135,6 @@ def hospitals_by_speciality(
             (F.col("id_type") == PRIVATE).alias("_private"),
         )
     )
-    keys = ["_private", "doc_count", "end_time"]
     order = [
         F.asc_nulls_last("_private"),
         F.desc_nulls_first("doc_count"),
@@ -142,7 +142,7 @@ def hospitals_by_speciality(
     ]
     columns = ["id", "id_type", "name", "id_organization", "status", "doc_count"]
     if position:
-        return with_position(found, order, keys, "id").select(*columns, "pos")
+        return numbered(found, [*order, F.asc("id")], "pos", 1).select(*columns, "pos")
     return found.orderBy(*order, "id").select(*columns)
 
 
@@ -187,8 +187,7 @@ def _hospitals_intended(
     )
     order = [F.desc("_private"), F.desc("doc_count"), F.desc("open_now")]
     if position:
-        keys = ["_private", "doc_count", "open_now"]
-        return with_position(found, order, keys, "id").drop("_private")
+        return numbered(found, [*order, F.asc("id")], "pos", 1).drop("_private")
     return found.orderBy(*order, "id").drop("_private")
 
 
