@@ -175,9 +175,8 @@ def _literal_log_steps() -> dict[str, str]:
 
 def _decisions(calls: str, columns: str = "") -> str:
     return f"""
-    SELECT c.seq, c.id_patient, c.id_ticket, {columns}
-           c.seq IN (SELECT seq FROM winners) AS accepted
-    FROM {calls} c"""
+    SELECT c.seq, c.id_patient, c.id_ticket, {columns} w.seq IS NOT NULL AS accepted
+    FROM {calls} c LEFT JOIN winners w ON w.seq = c.seq"""
 
 
 _LAST = """
@@ -190,9 +189,9 @@ def statements() -> dict[str, str]:
         "booking_eligibility": with_tables(
             f"""
             SELECT r.seq, r.id_patient, r.id_ticket, coalesce(m.n, 0) AS match_count,
-                   EXISTS (SELECT 1 FROM ({_BOOKED}) j WHERE j.id_patient = r.id_patient
-                           AND j.id_ticket = r.id_ticket) AS already_booked
-            FROM requests r LEFT JOIN matches m ON m.seq = r.seq""",
+                   j.id_ticket IS NOT NULL AS already_booked
+            FROM requests r LEFT JOIN matches m ON m.seq = r.seq
+            LEFT JOIN ({_BOOKED}) j ON j.id_patient = r.id_patient AND j.id_ticket = r.id_ticket""",
             matches=_OPEN_MATCHES,
         ),
         "cancel_decisions": with_tables(_decisions("cancels"), **_CANCEL_STEPS),

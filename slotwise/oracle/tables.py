@@ -136,6 +136,9 @@ CTES = {n: _typed(n, values_sql(n)) for n in LOOKUPS}
 CTES |= {n: _typed(n, body) for n, body in _STAR.items()}
 
 
+ONCE = {"requests", "cancels", "booking_log", "matches", "able", "winners"}
+
+
 def with_tables(query: str, recursive: bool = False, **steps: str) -> str:
     """Prefix `query` with the tables it names, then with its own `steps` in order."""
     text = " ".join([query, *steps.values()])
@@ -150,7 +153,11 @@ def with_tables(query: str, recursive: bool = False, **steps: str) -> str:
                     needed.append(name)
 
     need(text)
-    parts = [f"{n} AS ({CTES[n]})" for n in needed]
-    parts += [f"{n} AS ({body.strip()})" for n, body in steps.items()]
+    # What is used more than once is worked out once, whatever the optimiser would do.
+    def once(name: str) -> str:
+        return "MATERIALIZED " if name in ONCE else ""
+
+    parts = [f"{n} AS {once(n)}({CTES[n]})" for n in needed]
+    parts += [f"{n} AS {once(n)}({body.strip()})" for n, body in steps.items()]
     lead = "WITH RECURSIVE " if recursive else "WITH "
     return lead + ",\n".join(parts) + "\n" + query.strip() if parts else query

@@ -106,15 +106,54 @@ def _bookings() -> dict[str, Query]:
     return found
 
 
+# Columns of the clinic with values that break each kind of constraint, and rows given twice.
+SPOILT = {
+    "towns": {"name": "CASE WHEN id % 5 = 1 THEN NULL ELSE name END"},
+    "regions": {"code": "CASE WHEN id = 1 THEN code + 1000 ELSE code END"},
+    "patients": {
+        "id_gender": "CASE WHEN id % 7 = 0 THEN 99 ELSE id_gender END",
+        "area": "CASE WHEN id % 11 = 0 THEN NULL ELSE area END",
+        "first_name": "CASE WHEN id % 13 = 0 THEN repeat('x', 300) ELSE first_name END",
+    },
+    "hospital_work_times": {
+        "id_week_day": "CASE WHEN id % 9 = 0 THEN 12 ELSE id_week_day END",
+        "end_time": "CASE WHEN id % 10 = 0 THEN '18:00:00' ELSE end_time END",
+    },
+    "tickets": {
+        "id_doctor_speciality": "CASE WHEN id % 100 = 0 THEN -1 ELSE id_doctor_speciality END",
+        "closed": "CASE WHEN id % 50 = 0 THEN 10 ELSE closed END",
+    },
+    "patient_journals": {"id_patient": "CASE WHEN id_ticket % 1000 = 1 THEN -5 ELSE id_patient END"},
+}
+TWICE = {"towns": "id % 3 = 0", "patient_journals": "id_ticket % 10 = 0", "doctors": "id % 8 = 0"}
+
+
+def _spoiled(c: Clinic) -> Clinic:
+    """The clinic with rows that break keys, links, required columns and domains."""
+    tables = {}
+    for name in {**SPOILT, **TWICE}:
+        df = getattr(c, name)
+        if name in TWICE:
+            df = df.unionByName(df.filter(TWICE[name]))
+        tables[name] = df.withColumns({k: F.expr(v) for k, v in SPOILT.get(name, {}).items()})
+    return c.replace(**tables)
+
+
 def _checks() -> dict[str, Query]:
     def nulls_for_zero(c: Clinic) -> DataFrame:
         return c.tickets.withColumn("closed", F.nullif("closed", F.lit(0)))
 
-    return {
+    def spoiled(report: Query) -> Query:
+        return lambda c: report(_spoiled(c))
+
+    reports = {
         "dq_unique": quality.dq_unique,
         "dq_foreign_key": quality.dq_foreign_key,
         "dq_not_null": quality.dq_not_null,
         "dq_domain": quality.dq_domain,
+        "dq_all": quality.dq_all,
+    }
+    return reports | {f"{name}_spoiled": spoiled(report) for name, report in reports.items()} | {
         "duplicate_order_lines": lambda c: quality.duplicates(
             c.order_lines, ["l_orderkey", "l_linenumber"]
         ),
