@@ -102,6 +102,7 @@ def statements() -> dict[str, str]:
     }
     found = {name: _union(parts, False) for name, parts in reports.items()}
     found |= {f"{name}_spoiled": _union(parts, True) for name, parts in reports.items()}
+    found["dq_kept_spoiled"] = found["dq_all_spoiled"]
     return found | {
         "duplicate_order_lines": """
             SELECT l_orderkey, l_linenumber, count(*) AS n_rows
