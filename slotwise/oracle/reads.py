@@ -70,6 +70,61 @@ def _tickets(doctor: str = "") -> str:
     WHERE t.time_begin > {NOON} {doctor}"""
 
 
+def _bulk(rows: str, source: str, params: dict[str, str], keys: dict[str, str], columns: str) -> str:
+    """`rows` r for each different row of parameters p, with the condition as it is called."""
+    values = ", ".join(f"{v} AS {p}" for p, v in params.items())
+    where = " AND ".join(f"(p.{p} IS NULL OR p.{p} = r.{k})" for p, k in keys.items())
+    named = ", ".join(f"p.{p}" for p in keys)
+    return with_tables(
+        f"SELECT {named}, {columns} FROM params p JOIN ({rows}) r ON {where}",
+        params=f"SELECT DISTINCT {values} FROM {source}",
+    )
+
+
+def _bulk_hospitals() -> str:
+    named = "p_speciality, p_status"
+    counted = _hospitals_literal(
+        "AND (p_speciality IS NULL OR p_speciality = s.id) AND (p_status IS NULL OR p_status = h.status)",
+        "",
+    )
+    counted = counted.replace("SELECT h.id", f"SELECT {named}, h.id", 1)
+    counted = counted.replace("FROM hospitals h", "FROM params CROSS JOIN hospitals h", 1)
+    counted = counted.replace("GROUP BY h.id", f"GROUP BY {named}, h.id", 1)
+    values = "nullif(id_speciality, 3) AS p_speciality, nullif(id % 3, 2) AS p_status"
+    return with_tables(counted, params=f"SELECT DISTINCT {values} FROM doctor_specialty")
+
+
+def _bulk_statements() -> dict[str, str]:
+    return {
+        "bulk_towns": _bulk(
+            "SELECT * FROM towns", "towns", {"p_region": "nullif(id_region, 2)"}, {"p_region": "id_region"}, "r.*"
+        ),
+        "bulk_specialities": _bulk(
+            _specialities("intended"), "specialities", {"p_age_group": "nullif(id_age_group, 2)"},
+            {"p_age_group": "id_age_group"}, "r.*",
+        ),
+        "bulk_hospitals": _bulk_hospitals(),
+        "bulk_doctors": _bulk(
+            "SELECT * FROM doctors WHERE deleted_at IS NULL", "hospitals", {"p_hospital": "nullif(id, 1)"},
+            {"p_hospital": "id_hospital"}, "r.*",
+        ),
+        "bulk_tickets": _bulk(
+            f"""SELECT t.*, ds.id_doctor FROM tickets t JOIN doctor_specialty ds
+                ON ds.id = t.id_doctor_speciality WHERE t.time_begin > {NOON}""",
+            "doctors", {"p_doctor": "nullif(id, 1)"}, {"p_doctor": "id_doctor"}, "r.* EXCLUDE (id_doctor)",
+        ),
+        "bulk_work_times": _bulk(
+            "SELECT * FROM hospital_work_times", "hospital_work_times",
+            {"p_hospital": "nullif(id_hospital, 1)", "p_week_day": "nullif(id_week_day, 7)"},
+            {"p_hospital": "id_hospital", "p_week_day": "id_week_day"}, "r.*",
+        ),
+        "bulk_journals": _bulk(
+            "SELECT * FROM patient_journals", "requests", {"p_patient": "nullif(id_patient, 5)"},
+            {"p_patient": "id_patient"}, "r.*",
+        ),
+    }
+
+
 def statements() -> dict[str, str]:
     plain = {
         "towns_all": "SELECT * FROM towns",
@@ -137,4 +192,4 @@ def statements() -> dict[str, str]:
         "sql_hospital_work_time": plain["hospital_work_time"],
         "sql_patient_journal": plain["patient_journal_all"],
     }
-    return {name: with_tables(sql) for name, sql in plain.items()}
+    return {name: with_tables(sql) for name, sql in plain.items()} | _bulk_statements()

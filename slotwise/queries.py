@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from slotwise.functions import clock
 from slotwise.functions.text import glue
-from slotwise.operators import booking, generate, quality, reads
+from slotwise.operators import booking, bulk, generate, quality, reads
 from slotwise.plans.lineage import shared_folder
 from slotwise.sources.clinic import Clinic, apply_defaults
 from slotwise.sources.schemas import TABLES
@@ -263,8 +263,33 @@ def _generators() -> dict[str, Query]:
     }
 
 
+def _bulk() -> dict[str, Query]:
+    """Reads for tables of parameters that Spark takes from the data, some of them null."""
+
+    def some(df: DataFrame, **columns: str) -> DataFrame:
+        return df.select(*(F.expr(v).alias(k) for k, v in columns.items()))
+
+    return {
+        "bulk_towns": lambda c: bulk.towns(c, some(c.towns, p_region="nullif(id_region, 2)")),
+        "bulk_specialities": lambda c: bulk.specialities(
+            c, some(c.specialities, p_age_group="nullif(id_age_group, 2)"), semantics="intended"
+        ),
+        "bulk_hospitals": lambda c: bulk.hospitals(
+            c,
+            EVENING,
+            some(c.doctor_specialty, p_speciality="nullif(id_speciality, 3)", p_status="nullif(id % 3, 2)"),
+        ),
+        "bulk_doctors": lambda c: bulk.doctors(c, some(c.hospitals, p_hospital="nullif(id, 1)")),
+        "bulk_tickets": lambda c: bulk.tickets(c, NOON, some(c.doctors, p_doctor="nullif(id, 1)")),
+        "bulk_work_times": lambda c: bulk.work_times(
+            c, some(c.hospital_work_times, p_hospital="nullif(id_hospital, 1)", p_week_day="nullif(id_week_day, 7)")
+        ),
+        "bulk_journals": lambda c: bulk.journals(c, some(c.requests, p_patient="nullif(id_patient, 5)")),
+    }
+
+
 def registered() -> dict[str, Query]:
-    return _reads() | _bookings() | _checks() | _generators()
+    return _bulk() | _reads() | _bookings() | _checks() | _generators()
 
 
 _NOON = "timestamp_ntz'1998-06-15 14:30:00'"
