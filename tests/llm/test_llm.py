@@ -251,6 +251,15 @@ def test_equal_passages_that_hold_a_frequent_line(spark):
     assert all(found[p].end - found[p].start >= 60 for p in pairs)
 
 
+def test_whole_copies_with_white_space_at_their_ends(spark):
+    """The bounds are those of the words, and 49 words are no passage whatever surrounds them."""
+    long, short = (" ".join(f"e{k}_{n}" for k in range(n)) for n in (60, 49))
+    texts = [f"\n{long}\t\r\n", f"\n{long}\t\r\n", f"{short}\n", f"{short}\n", " \n", " \n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    (row,) = passages.repeated_passages(docs).collect()
+    assert tuple(row) == (1, 0, 60, 0, 0, 60, 1.0)
+
+
 def test_passages_side_by_side_in_one_document_only():
     x = np.random.default_rng(4).integers(0, 1 << 60, 120).astype(np.uint64)
     other = np.random.default_rng(5).integers(0, 1 << 60, 300).astype(np.uint64)
