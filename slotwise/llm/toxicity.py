@@ -16,7 +16,11 @@ from .common import bounded_batches, fold, slices, stored
 
 SAMPLE = 20_000  # labelled documents to learn from, at most
 BUCKETS = 1 << 20  # terms are hashed to so many numbers
-CHOSEN = 2048  # numbers that the model keeps, those that tell the classes apart best
+CHOSEN = 2048  # numbers that the model keeps for telling the classes apart alone
+PAIRED = 1024  # and numbers that it keeps for what they tell beside another one
+PAIR_TERMS = 8192  # pairs are counted among so many of the most frequent numbers
+PAIR_CLEAR = 8.0  # signed root of the deviance that a pair must reach; chance stays below
+BLOCK = 512  # numbers on each side of a block of pairs that one task counts
 FACTORS = 8
 ROUNDS = 150
 KEPT = 300_000  # words whose columns a worker remembers
@@ -80,27 +84,107 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margins(columns, counts), -30, 30)))
 
 
+def _counts(rows: DataFrame) -> DataFrame:
+    """Rows (`n`) and rows of label 1 (`one`) that hold each hash number."""
+    return (
+        rows.select("toxic", F.explode("terms").alias("term"))
+        .groupBy("term")
+        .agg(F.sum("toxic").alias("one"), F.count(F.lit(1)).alias("n"))
+        .filter("n >= 4")
+    )
+
+
+def _clear(ones: np.ndarray, n: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """Signed root of the deviance of `ones` among `n` from a `rate`; 0 where n is 0."""
+    share = ones / np.maximum(n, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        first = np.where(ones > 0, ones * np.log(share / rate), 0.0)
+        second = np.where(n > ones, (n - ones) * np.log((1 - share) / (1 - rate)), 0.0)
+    return np.sign(share - rate) * np.sqrt(2 * np.maximum(first + second, 0.0))
+
+
+def pair_clear(a: np.ndarray, b: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """How far the rows that hold a pair differ in their labels from those of either term.
+
+    `a` and `b` are 0/1 matrices of rows by terms. A pair counts by the lesser of its two
+    distances, and not at all if it is above one term's rate and below the other's; so terms
+    that always come together tell nothing as a pair.
+    """
+    one = labels.astype(bool)
+    both = (a.T @ b).astype(np.float64)
+    ones = (a[one].T @ b[one]).astype(np.float64)
+    rates = [(x[one].sum(0, dtype=np.float64) + 0.5) / (x.sum(0, dtype=np.float64) + 1) for x in (a, b)]
+    left = _clear(ones, both, rates[0][:, None])
+    right = _clear(ones, both, rates[1][None, :])
+    return np.where(left * right > 0, np.minimum(np.abs(left), np.abs(right)), 0.0)
+
+
+def paired(rows: DataFrame, counts: DataFrame) -> list[int]:
+    """At most PAIRED hash numbers that tell the classes apart beside another number.
+
+    Pairs are counted among the PAIR_TERMS numbers that most rows hold, in blocks of BLOCK by
+    BLOCK numbers, one task each. Rows travel as bits, PAIR_TERMS of them for each of the
+    learning rows, whose number is bounded too. Rows alike in these numbers and in the label
+    count once, or a text copied often would make all its pairs look clear.
+    """
+    spark = rows.sparkSession
+    often = sorted(r["term"] for r in counts.orderBy(F.desc("n"), "term").limit(PAIR_TERMS).collect())
+    column = np.full(BUCKETS, -1, dtype=np.int32)
+    column[often] = np.arange(len(often))
+    place = spark.sparkContext.broadcast(column)
+
+    def bits(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            held = np.zeros((len(part), len(often)), dtype=np.uint8)
+            for k, terms in enumerate(part["terms"]):
+                found = place.value[terms]
+                held[k, found[found >= 0]] = 1
+            yield pd.DataFrame({"toxic": part["toxic"], "bits": [r.tobytes() for r in np.packbits(held, axis=1)]})
+
+    found = rows.mapInPandas(bits, "toxic int, bits binary").distinct().collect()
+    if not found or not often:
+        return []
+    labels = np.array([r["toxic"] for r in found])
+    packed = np.array([np.frombuffer(r["bits"], np.uint8) for r in found])
+    shared = spark.sparkContext.broadcast((labels, packed))
+
+    def block(k: int) -> np.ndarray:
+        part = shared.value[1][:, k * BLOCK // 8 : (k + 1) * BLOCK // 8]
+        return np.unpackbits(part, axis=1).astype(np.float32)
+
+    def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for i, j in zip(part["i"], part["j"]):
+                clear = pair_clear(block(i), block(j), shared.value[0])
+                for k, most in ((i, clear.max(1)), (j, clear.max(0))):
+                    places = np.flatnonzero(most > PAIR_CLEAR)
+                    yield pd.DataFrame({"place": places + k * BLOCK, "clear": most[places].round(6)})
+
+    blocks = range(-(-len(often) // BLOCK))
+    tasks = [(i, j) for i in blocks for j in blocks if i <= j]
+    pairs = spark.createDataFrame(tasks, "i int, j int").repartition(len(tasks), "i", "j")
+    most = pairs.mapInPandas(best, "place int, clear double").groupBy("place").agg(F.max("clear").alias("clear"))
+    return [often[r["place"]] for r in most.orderBy(F.desc("clear"), "place").limit(PAIRED).collect()]
+
+
 def choose(rows: DataFrame) -> np.ndarray:
-    """Column of each hash number: the CHOSEN ones of clearest log odds, 0, 1, ...; else -1.
+    """Column of each hash number that the model keeps: 0, 1, ...; -1 for the others.
 
-    `rows` has toxic (0 or 1) and terms (distinct hash numbers). Counts are made in Spark;
-    only the chosen numbers come to the driver.
+    Kept are the CHOSEN numbers of clearest log odds and the `paired` ones, which may be
+    neutral alone. `rows` has toxic (0 or 1) and terms (distinct hash numbers). Counts are
+    made in Spark; only the chosen numbers come to the driver.
     """
     totals = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("n1"), F.count(F.lit(1)).alias("n")).first()
     n1, n0 = max(1, totals["n1"]), max(1, totals["n"] - totals["n1"])
     one = F.col("one") + 0.5
     zero = F.col("n") - F.col("one") + 0.5
     odds = F.log(one / (n1 + 1 - one)) - F.log(zero / (n0 + 1 - zero))
-    counts = (
-        rows.select("toxic", F.explode("terms").alias("term"))
-        .groupBy("term")
-        .agg(F.sum("toxic").alias("one"), F.count(F.lit(1)).alias("n"))
-        .filter("n >= 4")
-        .select("term", F.round(F.abs(odds) / F.sqrt(1 / one + 1 / zero), 6).alias("clear"))
-    )
-    best = counts.filter("clear > 2").orderBy(F.desc("clear"), "term").limit(CHOSEN).collect()
+    counts = stored(_counts(rows), "term-counts")
+    clear = counts.select("term", F.round(F.abs(odds) / F.sqrt(1 / one + 1 / zero), 6).alias("clear"))
+    best = clear.filter("clear > 2").orderBy(F.desc("clear"), "term").limit(CHOSEN).collect()
+    kept = sorted({r["term"] for r in best} | set(paired(rows, counts)))
     column = np.full(BUCKETS, -1, dtype=np.int32)
-    column[sorted(r["term"] for r in best)] = np.arange(len(best))
+    column[kept] = np.arange(len(kept))
     return column
 
 

@@ -1,5 +1,6 @@
 """The training-data operators against brute force on small tables."""
 
+import random
 import re
 import zlib
 
@@ -326,3 +327,43 @@ def test_models_learn_and_stand_odd_rows(spark, docs, none):
     odd = {r.doc_id: r.f for r in docs.select("doc_id", languages.language(docs, profiles).alias("f")).collect()}
     assert odd[4].lang_pred == odd[6].lang_pred == "und" and 0 <= odd[1].score <= 1
     assert none.select(languages.language(none, languages.learn(none))).count() == 0
+
+
+def test_toxicity_of_two_words_that_are_neutral_alone(spark):
+    """Toxic is who has exactly one of two words: each alone tells nothing."""
+    rnd = random.Random(3)
+    rows, labels = [], []
+    for i in range(3000):
+        words = [f"q{rnd.randrange(400)}" for _ in range(30)]
+        one, two = rnd.random() < 0.5, rnd.random() < 0.5
+        words += ["left"] * one + ["right"] * two
+        rnd.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(one != two)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.learn(frame, known)
+    assert all(model.column[toxicity.word_terms(w)[0]] >= 0 for w in ("left", "right"))
+    scored = frame.select("doc_id", toxicity.toxicity(frame, model).alias("s")).collect()
+    truth = dict(labels)
+    right = [(r.s >= 0.5) == (truth[r.doc_id] == 1) for r in scored if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert np.mean(right) > 0.95
+
+
+def test_toxicity_score_is_the_naive_sum_over_pairs():
+    rng = np.random.default_rng(2)
+    model = toxicity.Machine(np.zeros(0), -0.3, rng.normal(size=9), rng.normal(size=(9, toxicity.FACTORS)))
+    rows = [np.array(r, dtype=np.int32) for r in ([0, 3, 5, 8], [2], [], list(range(9)))]
+    for row, score in zip(rows, model.scores(rows)):
+        margin = model.bias + sum(model.weights[i] for i in row)
+        margin += sum(model.factors[i] @ model.factors[j] for i in row for j in row if i < j)
+        assert abs(score - 1 / (1 + np.exp(-margin))) < 1e-9
+
+
+def test_pairs_that_always_come_together_tell_nothing():
+    rng = np.random.default_rng(4)
+    a = (rng.random((500, 1)) < 0.4).astype(np.float32)
+    b = (rng.random((500, 1)) < 0.4).astype(np.float32)
+    labels = ((a != b)[:, 0]).astype(int)
+    assert toxicity.pair_clear(a, a, labels)[0, 0] < 0.5
+    assert toxicity.pair_clear(a, b, labels)[0, 0] > toxicity.PAIR_CLEAR
