@@ -17,7 +17,7 @@ from .common import bounded_batches, fold, slices, stored
 SAMPLE = 20_000  # labelled documents to learn from, at most
 BUCKETS = 1 << 20  # terms are hashed to so many numbers
 CHOSEN = 2048  # numbers that the model keeps for telling the classes apart alone
-PAIRED = 1024  # and numbers that it keeps for what they tell beside another one
+PAIRED = 128  # and numbers that it keeps for what they tell beside another one
 PAIR_TERMS = 8192  # pairs are counted among so many of the most frequent numbers
 PAIR_CLEAR = 8.0  # signed root of the deviance that a pair must reach; chance stays below
 BLOCK = 512  # numbers on each side of a block of pairs that one task counts
