@@ -69,19 +69,20 @@ class Machine:
     weights: np.ndarray
     factors: np.ndarray
 
-    def margins(self, columns: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        of_row = np.repeat(np.arange(len(counts)), counts)
-        total = self.bias + np.bincount(of_row, self.weights[columns], len(counts))
-        for f in range(FACTORS):  # one by one, which bounds the memory
-            v = self.factors[columns, f]
-            both, own = (np.bincount(of_row, x, len(counts)) for x in (v, v**2))
-            total += 0.5 * (both**2 - own)
-        return total
+    def sums(self, columns: np.ndarray, of_row: np.ndarray, n: int) -> np.ndarray:
+        """Sum of each factor over the terms of each of `n` rows; one by one, which bounds the memory."""
+        return np.stack([np.bincount(of_row, v[columns], n) for v in np.ascontiguousarray(self.factors.T)])
+
+    def margins(self, columns: np.ndarray, of_row: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        own = self.weights - 0.5 * (self.factors**2).sum(1)
+        return self.bias + np.bincount(of_row, own[columns], sums.shape[1]) + 0.5 * (sums**2).sum(0)
 
     def scores(self, rows: list[np.ndarray]) -> np.ndarray:
         counts = np.array([len(r) for r in rows], dtype=np.int64)
         columns = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int64)
-        return 1 / (1 + np.exp(-np.clip(self.margins(columns, counts), -30, 30)))
+        of_row = np.repeat(np.arange(len(counts)), counts)
+        margins = self.margins(columns, of_row, self.sums(columns, of_row, len(counts)))
+        return 1 / (1 + np.exp(-np.clip(margins, -30, 30)))
 
 
 def _counts(rows: DataFrame) -> DataFrame:
@@ -211,14 +212,14 @@ def fit(column: np.ndarray, kept: list[np.ndarray], labels: np.ndarray, seed: in
     for k in range(1, ROUNDS + 1):
         model.bias, model.weights = theta[0], theta[1 : size + 1]
         model.factors = theta[size + 1 :].reshape(size, FACTORS)
-        p = 1 / (1 + np.exp(-np.clip(model.margins(columns, counts), -30, 30)))
+        sums = model.sums(columns, of_row, len(counts))
+        p = 1 / (1 + np.exp(-np.clip(model.margins(columns, of_row, sums), -30, 30)))
         error = (p - labels) / len(labels)
         each = error[of_row]
         own = np.bincount(columns, each, size)
         pairs = np.empty((size, FACTORS))
         for f in range(FACTORS):
-            sums = np.bincount(of_row, model.factors[columns, f], len(counts))
-            pairs[:, f] = np.bincount(columns, each * sums[of_row], size)
+            pairs[:, f] = np.bincount(columns, (error * sums[f])[of_row], size)
         pairs -= model.factors * own[:, None]
         slope = np.concatenate([[error.sum()], own, pairs.ravel()]) + decay * theta
         first = 0.9 * first + 0.1 * slope
