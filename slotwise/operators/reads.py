@@ -202,11 +202,11 @@ def doctors_by_hospital(
     """Live doctors, highest degree first, then by whether their area is the patient's.
 
     Literal: a matching area comes last, and no area matches everyone. Intended: a
-    matching area comes first. With `position=True` the place per hospital is added as
+    matching area comes first. A doctor without an area does not match a given one. With `position=True` the place per hospital is added as
     `pos`, which ranks every hospital in one run.
     """
     area = blank_to_none(area)
-    matches = F.lit(True) if area is None else F.col("area") == F.lit(area)
+    matches = F.lit(True) if area is None else F.equal_null(F.col("area"), F.lit(area))
     match_order = F.desc if _intended(semantics) else F.asc
     found = live(_only(clinic.doctors, id_hospital=id_hospital))
     columns = found.columns

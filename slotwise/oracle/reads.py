@@ -191,5 +191,22 @@ def statements() -> dict[str, str]:
         "sql_documents_by_patient": plain["documents_by_patient_literal"],
         "sql_hospital_work_time": plain["hospital_work_time"],
         "sql_patient_journal": plain["patient_journal_all"],
+        "sql_each_region": """
+            SELECT p_region, t.* FROM (SELECT DISTINCT nullif(id_region, 2) AS p_region FROM towns)
+            JOIN towns t ON p_region IS NULL OR t.id_region = p_region""",
+        "sql_each_doctor": f"""
+            SELECT p_doctor, t.* EXCLUDE (id_doctor) FROM (SELECT DISTINCT nullif(id, 1) AS p_doctor FROM doctors)
+            JOIN (SELECT t.*, l.id_doctor FROM tickets t JOIN doctor_specialty l
+                  ON l.id = t.id_doctor_speciality WHERE t.time_begin > {NOON}) t
+              ON t.id_doctor = p_doctor
+            UNION ALL
+            SELECT NULL, t.* FROM tickets t WHERE t.time_begin > {NOON}""",
+        "sql_each_patient": """
+            SELECT p_patient, j.* FROM
+              (SELECT DISTINCT nullif(id_patient, 5) AS p_patient FROM patient_journals)
+            JOIN patient_journals j ON j.id_patient = p_patient
+            UNION ALL
+            SELECT NULL, j.* FROM patient_journals j
+            WHERE EXISTS (SELECT 1 FROM patient_journals WHERE nullif(id_patient, 5) IS NULL)""",
     }
     return {name: with_tables(sql) for name, sql in plain.items()} | _bulk_statements()

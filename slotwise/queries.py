@@ -304,6 +304,13 @@ SQL_CALLS = {
     "sql_documents_by_patient": "get_documents_by_patient(p_id_patient => 4)",
     "sql_hospital_work_time": "get_hospitals_work_time(p_id_hospital => 1)",
     "sql_patient_journal": "get_patient_journald_by_patient_id()",
+    # Functions called for each row of a table, some of them with null.
+    "sql_each_region": "(SELECT DISTINCT nullif(id_region, 2) AS p_region FROM towns), "
+    "LATERAL get_towns_by_region(p_region)",
+    "sql_each_doctor": "(SELECT DISTINCT nullif(id, 1) AS p_doctor FROM doctors), "
+    f"LATERAL get_tickets_by_doctor(p_doctor, {_NOON})",
+    "sql_each_patient": "(SELECT DISTINCT nullif(id_patient, 5) AS p_patient FROM patient_journals), "
+    "LATERAL get_patient_journald_by_patient_id(p_patient)",
 }
 
 

@@ -5,7 +5,10 @@
 
 Functions that depend on the time take `as_of`, by default the current time. A parameter
 that is null equates its column with itself, which the optimizer folds to no filter; any
-other value becomes a filter that reaches the scan. A body's ORDER BY does not bind the outer
+other value becomes a filter that reaches the scan. Functions with a single parameter for
+a key also serve each row of a table, `FROM doctors d, LATERAL get_tickets_by_doctor(d.id)`:
+one branch of their union takes the rows of a given key and one all rows for a null one, so
+that both become equi-joins. With a constant one branch folds away. A body's ORDER BY does not bind the outer
 query, so the two sorted reads give their sort keys as columns of the result: order by
 `sort_1`, `sort_2`, `sort_3` and the id.
 """
@@ -25,13 +28,34 @@ def _columns(table: str) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in TABLES[table].schema)
 
 
+def _of(parameter: str, column: str, table: str) -> str:
+    """Rows of `table` whose `column` is the parameter; all rows where that is null."""
+    names = ", ".join(f.name for f in TABLES[table].schema)
+    return f"""SELECT {names} FROM {table} WHERE {column} = {parameter}
+               UNION ALL
+               SELECT {names} FROM (SELECT *, nullif({column}, {column}) AS none FROM {table})
+               WHERE none <=> {parameter} AND {parameter} IS NULL"""
+
+
+def _tickets() -> str:
+    names = ", ".join(f.name for f in TABLES["tickets"].schema)
+    return f"""SELECT {names} FROM (
+                 SELECT t.*, l.id_doctor FROM tickets t
+                 JOIN doctor_specialty l ON l.id = t.id_doctor_speciality)
+               WHERE id_doctor = filter_id_doctor AND time_begin > as_of
+               UNION ALL
+               SELECT {names} FROM (SELECT *, nullif(id, id) AS none FROM tickets)
+               WHERE none <=> filter_id_doctor AND filter_id_doctor IS NULL
+                 AND time_begin > as_of"""
+
+
 def _functions() -> dict[str, tuple[str, str, str]]:
     """Name -> (parameters, result columns, body)."""
     return {
         "get_towns_by_region": (
             "p_id_region BIGINT DEFAULT NULL",
             _columns("towns"),
-            "SELECT * FROM towns WHERE id_region <=> coalesce(p_id_region, id_region)",
+            _of("p_id_region", "id_region", "towns"),
         ),
         "get_doctors_by_specialty": (
             "p_age_group BIGINT DEFAULT NULL",
@@ -61,16 +85,13 @@ def _functions() -> dict[str, tuple[str, str, str]]:
         "get_doctors_by_hospital": (
             "p_id_hospital BIGINT DEFAULT NULL, p_area STRING DEFAULT NULL",
             _columns("doctors") + ", sort_1 INT, sort_2 BOOLEAN",
-            """SELECT *, -degree, coalesce(area = nullif(p_area, ''), true) FROM live_doctors
+            """SELECT *, -degree, coalesce(area = nullif(p_area, ''), nullif(p_area, '') IS NULL) FROM live_doctors
                WHERE id_hospital <=> coalesce(p_id_hospital, id_hospital)""",
         ),
         "get_tickets_by_doctor": (
             "filter_id_doctor BIGINT DEFAULT NULL, " + _CLOCK,
             _columns("tickets"),
-            """SELECT t.* FROM tickets t
-               LEFT SEMI JOIN doctor_specialty l ON l.id = t.id_doctor_speciality
-                 AND l.id_doctor <=> coalesce(filter_id_doctor, l.id_doctor)
-               WHERE t.time_begin > as_of""",
+            _tickets(),
         ),
         "get_documents_by_patient": (
             "p_id_patient BIGINT, p_id_document_type BIGINT DEFAULT NULL",
@@ -88,8 +109,7 @@ def _functions() -> dict[str, tuple[str, str, str]]:
         "get_patient_journald_by_patient_id": (
             "p_id_patient BIGINT DEFAULT NULL",
             _columns("patient_journals"),
-            """SELECT * FROM patient_journals
-               WHERE id_patient <=> coalesce(p_id_patient, id_patient)"""
+            _of("p_id_patient", "id_patient", "patient_journals"),
         ),
     }
 

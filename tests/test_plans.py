@@ -101,6 +101,34 @@ def test_sql_functions(stored, spark):
     assert "PushedFilters: []" in free
 
 
+def test_sql_functions_for_each_row(stored, spark):
+    """LATERAL calls become equi-joins and equal a loop of single calls, null included."""
+    _, clinic = stored
+    own = spark.newSession()
+    root = clinic.towns.inputFiles()[0].rsplit("/towns/", 1)[0]
+    register(own, Clinic.read(own, root))
+    now = "timestamp_ntz'2024-05-13 14:30:00'"
+    calls = {
+        "get_towns_by_region({})": "id",
+        f"get_tickets_by_doctor({{}}, {now})": "id",
+        "get_patient_journald_by_patient_id({})": "id_ticket",
+    }
+    own.sql("SELECT nullif(id, 2) AS p FROM range(1, 6)").write.parquet(f"{root}-keys")
+    own.read.parquet(f"{root}-keys").createOrReplaceTempView("keys")
+    for call, key in calls.items():
+        each = own.sql(f"SELECT p, {key} FROM keys, LATERAL {call.format('p')}")
+        plan = plan_of(each)
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        single = [
+            (p, r[0])
+            for p in (1, None, 3, 4, 5)
+            for r in own.sql(f"SELECT {key} FROM {call.format('null' if p is None else p)}").collect()
+        ]
+        assert single and sorted(map(str, map(tuple, each.collect()))) == sorted(map(str, single))
+    one = plan_of(own.sql("SELECT * FROM get_patient_journald_by_patient_id(7)"))
+    assert "Union" not in one and "EqualTo(id_patient,7)" in one
+
+
 def test_positions_equal_one_window(spark, monkeypatch):
     monkeypatch.setattr(ranking, "ID_RANGE", 16)
     df = spark.range(2000).select(

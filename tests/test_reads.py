@@ -187,3 +187,10 @@ def test_sort_uses_null_order_of_the_rules(clinic):
     """A descending key puts nulls first."""
     plan = reads.doctors_by_hospital(clinic, 1, "north")._jdf.queryExecution().toString()
     assert "DESC NULLS FIRST" in plan
+
+
+def test_a_doctor_without_an_area_does_not_match(make_clinic):
+    areas = {1: "area 1", 2: None, 3: "area 2"}
+    made = make_clinic(doctors=[{"id": k, "area": v, "degree": 1, "id_hospital": 1} for k, v in areas.items()])
+    assert rows(reads.doctors_by_hospital(made, None, "area 2"), "id") == [(1,), (2,), (3,)]
+    assert rows(reads.doctors_by_hospital(made, None, "area 1", semantics="intended"), "id") == [(1,), (2,), (3,)]
