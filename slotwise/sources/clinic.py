@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,8 +66,26 @@ class Clinic:
             job.result()
 
 
+def _stored_columns(spark: SparkSession, path: str) -> list[str]:
+    """Column names from a footer; none for a table by month that has no rows, so no files."""
+    try:
+        return spark.read.parquet(path).columns
+    except AnalysisException as error:
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return []
+
+
 def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """A stored table with its declared schema; a required column must be stored.
+
+    Without this check Parquet would read an absent column as null. Optional ones are read so.
+    """
     schema = TABLES[name].schema
+    found = _stored_columns(spark, path)
+    absent = [c for c in TABLES[name].required if found and c not in found]
+    if absent:
+        raise ValueError(f"{path} has no column {', '.join(absent)} of {name}")
     if name == "tickets":
         schema = type(schema)(list(schema)).add(SLOT_MONTH, "date")
     return spark.read.schema(schema).parquet(path)

@@ -4,7 +4,9 @@ import datetime as dt
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
+from slotwise import Clinic
 from slotwise.operators import reads
 
 GONE = dt.datetime(2019, 3, 1)
@@ -190,7 +192,20 @@ def test_sort_uses_null_order_of_the_rules(clinic):
 
 
 def test_a_doctor_without_an_area_does_not_match(make_clinic):
-    areas = {1: "area 1", 2: None, 3: "area 2"}
+    areas = {1: "area 1", 2: "none", 3: "area 2"}
     made = make_clinic(doctors=[{"id": k, "area": v, "degree": 1, "id_hospital": 1} for k, v in areas.items()])
+    made = made.replace(doctors=made.doctors.withColumn("area", F.nullif("area", F.lit("none"))))
     assert rows(reads.doctors_by_hospital(made, None, "area 2"), "id") == [(1,), (2,), (3,)]
     assert rows(reads.doctors_by_hospital(made, None, "area 1", semantics="intended"), "id") == [(1,), (2,), (3,)]
+
+
+def test_an_absent_required_column_is_found_on_load(spark, make_clinic, tmp_path):
+    made = make_clinic(towns=[{"id": 1}], hospitals=[{"id": 1}])
+    made.towns.drop("name").write.parquet(f"{tmp_path}/towns")
+    made.hospitals.drop("deleted_at").write.parquet(f"{tmp_path}/hospitals")
+    (tmp_path / "tickets").mkdir()
+    stored = Clinic.read(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="no column name of towns"):
+        stored.towns.count()
+    assert rows(stored.hospitals, "deleted_at") == [(None,)]
+    assert stored.tickets.count() == 0
