@@ -317,6 +317,9 @@ SQL_CALLS = {
 def _by_sql(call: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = spark.newSession()  # its views and functions stay apart from the caller's
+        for key, value in spark.conf.getAll.items():
+            if spark.conf.isModifiable(key):
+                own.conf.set(key, value)
         register(own, star_clinic(own, sf_dir))
         return own.sql(f"SELECT * FROM {call}")
 

@@ -39,3 +39,13 @@ def test_entry(spark):
 def test_query(name, spark, con):
     verdict = check.compare(entry.queries()[name](spark, DATA), con.sql(entry.oracle_sql()[name]))
     assert verdict.startswith("ok"), verdict
+
+
+def test_sql_queries_keep_the_settings_of_the_session(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        made = entry.queries()["sql_towns_by_region"](spark, DATA)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert made.sparkSession.conf.get("spark.sql.shuffle.partitions") == "3"
