@@ -34,7 +34,7 @@ def _hospitals_literal(where: str, pos: str) -> str:
     GROUP BY h.id, h.id_type, h.name, h.id_organization, h.status, t.end_time"""
 
 
-def _hospitals_intended(where_hospital: str, where_link: str, pos: str) -> str:
+def _hospitals_intended(where_hospital: str, where_link: str, pos: str, day: int = 1) -> str:
     return f"""
     SELECT h.id, h.id_type, h.name, h.id_organization, h.status, h.status <> 0 AS available,
            count(DISTINCT d.id) AS doc_count, any_value(t.end_time) AS end_time,
@@ -43,7 +43,7 @@ def _hospitals_intended(where_hospital: str, where_link: str, pos: str) -> str:
     JOIN doctors d ON d.id_hospital = h.id AND d.deleted_at IS NULL
     JOIN doctor_specialty ds ON ds.id_doctor = d.id
     JOIN specialities s ON s.id = ds.id_speciality AND s.deleted_at IS NULL {where_link}
-    LEFT JOIN hospital_work_times t ON t.id_hospital = h.id AND t.id_week_day = 1
+    LEFT JOIN hospital_work_times t ON t.id_hospital = h.id AND t.id_week_day = {day}
     WHERE h.deleted_at IS NULL {where_hospital}
     GROUP BY h.id, h.id_type, h.name, h.id_organization, h.status"""
 
@@ -154,6 +154,8 @@ def statements() -> dict[str, str]:
         "tickets_by_doctor": _tickets("AND ds.id_doctor = 1"),
         "tickets_all_doctors": _tickets(),
         "documents_by_patient_literal": "SELECT * FROM patient_documents WHERE id = 4",
+        "documents_by_patient_literal_type": """
+            SELECT * FROM patient_documents WHERE id = 4 AND id_document_type = 4""",
         "documents_by_patient_intended": """
             SELECT * FROM patient_documents WHERE id_patient = 4 AND id_document_type = 2""",
         "documents_by_patients_literal": """
@@ -161,6 +163,10 @@ def statements() -> dict[str, str]:
         "documents_by_patients_intended": """
             SELECT pd.* FROM patient_documents pd JOIN patients p ON p.id = pd.id_patient""",
         "hospital_work_time": "SELECT * FROM hospital_work_times WHERE id_hospital = 1",
+        "hospital_work_time_day": """
+            SELECT * FROM hospital_work_times WHERE id_hospital = 1 AND id_week_day = 3""",
+        "hospital_work_time_every_day": "SELECT * FROM hospital_work_times WHERE id_week_day = 3",
+        "hospitals_by_speciality_intended_sunday": _hospitals_intended("", "", "", day=2),
         "hospital_work_time_all": "SELECT * FROM hospital_work_times",
         "patient_journal": "SELECT * FROM patient_journals WHERE id_patient = 4",
         "patient_journal_all": "SELECT * FROM patient_journals",
@@ -177,6 +183,8 @@ def statements() -> dict[str, str]:
                'ticket ' || id || CASE WHEN closed = 1 THEN ' closed' ELSE '' END AS label
         FROM (SELECT *, CAST(time_begin AS DATE) AS day FROM tickets)"""
     sorts = ", h.id_type = 1 AS sort_1, -count(d.id) AS sort_2, t.end_time AS sort_3"
+    wanted = f""", h.id_type = 1 AS sort_1, count(DISTINCT d.id) AS sort_2,
+             coalesce(any_value(t.end_time) > '{EVENING}', FALSE) AS sort_3"""
     plain |= {
         "sql_towns_by_region": plain["towns_by_region"],
         "sql_specialities_with_doctors": plain["specialities_with_doctors_literal_age_group"],
@@ -191,6 +199,18 @@ def statements() -> dict[str, str]:
         "sql_documents_by_patient": plain["documents_by_patient_literal"],
         "sql_hospital_work_time": plain["hospital_work_time"],
         "sql_patient_journal": plain["patient_journal_all"],
+        "sql_documents_by_patient_type": plain["documents_by_patient_literal_type"],
+        "sql_hospital_work_time_day": plain["hospital_work_time_every_day"],
+        "sql_intended_specialities": plain["specialities_with_doctors_intended_age_group"],
+        "sql_intended_hospitals": _hospitals_intended("", "", wanted),
+        "sql_intended_hospitals_filtered": _hospitals_intended(
+            "AND h.status = 1", "AND s.id = 5", wanted
+        ),
+        "sql_intended_hospitals_sunday": _hospitals_intended("", "", wanted, day=2),
+        "sql_intended_doctors": """
+            SELECT *, degree AS sort_1, area = 'area 2' AS sort_2
+            FROM doctors WHERE deleted_at IS NULL""",
+        "sql_intended_documents": plain["documents_by_patient_intended"],
         "sql_each_region": """
             SELECT p_region, t.* FROM (SELECT DISTINCT nullif(id_region, 2) AS p_region FROM towns)
             JOIN towns t ON p_region IS NULL OR t.id_region = p_region""",

@@ -41,10 +41,16 @@ def _reads() -> dict[str, Query]:
         "tickets_by_doctor": lambda c: reads.tickets_by_doctor(c, NOON, 1),
         "tickets_all_doctors": lambda c: reads.tickets_by_doctor(c, NOON),
         "documents_by_patient_literal": lambda c: reads.documents_by_patient(c, 4),
+        "documents_by_patient_literal_type": lambda c: reads.documents_by_patient(c, 4, 4),
         "documents_by_patient_intended": lambda c: reads.documents_by_patient(
             c, 4, 2, semantics="intended"
         ),
         "hospital_work_time": lambda c: reads.hospital_work_time(c, 1),
+        "hospital_work_time_day": lambda c: reads.hospital_work_time(c, 1, 3),
+        "hospital_work_time_every_day": lambda c: reads.hospital_work_time(c, None, 3),
+        "hospitals_by_speciality_intended_sunday": lambda c: reads.hospitals_by_speciality(
+            c, EVENING, semantics="intended", week_start=7
+        ),
         "hospital_work_time_all": lambda c: reads.hospital_work_time(c),
         "patient_journal": lambda c: reads.patient_journal(c, 4),
         "patient_journal_all": lambda c: reads.patient_journal(c),
@@ -220,7 +226,7 @@ def _calendar_days(c: Clinic) -> DataFrame:
 
 
 def _generated(c: Clinic) -> DataFrame:
-    """Rows and a sum of the drawn values of every generated table."""
+    """Rows, a sum of the drawn values and one over the text of all columns, per generated table."""
     from_one = (F.col("id") + 1).alias("id")
     regions, users = c.organizations.select(from_one), c.patients.select(from_one)
     made = generate.generate_clinic(regions, users, NOON)
@@ -245,11 +251,19 @@ def _generated(c: Clinic) -> DataFrame:
         "tickets": "closed * id + datediff(time_begin, date'1998-06-15') * 10000 + " + minutes,
         "patient_journals": "id_patient",
     }
+
+    def text_sum(name: str):
+        """Sum of the first 32 bits of each row's digest; null reads as `-`."""
+        texts = [F.coalesce(F.col(f.name).cast("string"), F.lit("-")) for f in TABLES[name].schema]
+        digest = F.substring(F.md5(F.concat_ws("|", *texts)), 1, 8)
+        return F.sum(F.conv(digest, 16, 10).cast("long"))
+
     return quality.stack(
         getattr(made, name).agg(
             F.lit(name).alias("table_name"),
             F.count(F.lit(1)).alias("n_rows"),
             F.sum(F.expr(value).cast("long")).alias("value_sum"),
+            text_sum(name).alias("text_sum"),
         )
         for name, value in values.items()
     )
@@ -302,7 +316,17 @@ SQL_CALLS = {
     "sql_doctors_by_hospital": "get_doctors_by_hospital(p_area => 'area 2')",
     "sql_tickets_by_doctor": f"get_tickets_by_doctor(1, {_NOON})",
     "sql_documents_by_patient": "get_documents_by_patient(p_id_patient => 4)",
+    "sql_documents_by_patient_type": "get_documents_by_patient(4, p_id_document_type => 4)",
     "sql_hospital_work_time": "get_hospitals_work_time(p_id_hospital => 1)",
+    "sql_hospital_work_time_day": "get_hospitals_work_time(p_id_week_day => 3)",
+    # The same functions by the rules as described.
+    "sql_intended_specialities": "get_doctors_by_specialty_intended(p_age_group => 1)",
+    "sql_intended_hospitals": f"get_hospitals_by_speciality_intended(as_of => {_EVENING})",
+    "sql_intended_hospitals_filtered": f"get_hospitals_by_speciality_intended(5, 1, {_EVENING})",
+    "sql_intended_hospitals_sunday": "get_hospitals_by_speciality_intended("
+    f"as_of => {_EVENING}, p_week_start => 7)",
+    "sql_intended_doctors": "get_doctors_by_hospital_intended(p_area => 'area 2')",
+    "sql_intended_documents": "get_documents_by_patient_intended(4, 2)",
     "sql_patient_journal": "get_patient_journald_by_patient_id()",
     # Functions called for each row of a table, some of them with null.
     "sql_each_region": "(SELECT DISTINCT nullif(id_region, 2) AS p_region FROM towns), "
