@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from slotwise.oracle.reads import NOON
 from slotwise.oracle.tables import with_tables
+from slotwise.queries import SPOILT_CALLS
 
 LIMIT = "16:30"  # two hours after the moment of the batch, a Monday
 
@@ -184,6 +185,17 @@ _LAST = """
     QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY seq DESC) = 1"""
 
 
+_FAULTS = """
+    SELECT 'seq is missing' AS fault, count(*) AS n_rows FROM {log} WHERE seq IS NULL
+    UNION ALL SELECT 'seq is repeated', count(seq) - count(DISTINCT seq) FROM {log}
+    UNION ALL SELECT 'id_patient is no whole number', count(*) FROM {log}
+              WHERE NOT regexp_full_match(trim(id_patient::VARCHAR), '-?[0-9]+([.]0*)?')
+    UNION ALL SELECT 'id_ticket is no whole number', count(*) FROM {log}
+              WHERE NOT regexp_full_match(trim(id_ticket::VARCHAR), '-?[0-9]+([.]0*)?')
+    UNION ALL SELECT 'op is unknown', count(*) FROM {log}
+              WHERE op IS NULL OR op NOT IN ('request', 'cancel')"""
+
+
 def statements() -> dict[str, str]:
     found = {
         "booking_eligibility": with_tables(
@@ -259,4 +271,10 @@ def statements() -> dict[str, str]:
                 _TICKETS.format(closed=1), **steps
             ),
         }
+    found["booking_decisions_from_text"] = found["booking_decisions_literal"]
+    found["cancel_decisions_from_int"] = found["cancel_decisions"]
+    for name, log in {"call_faults": "booking_log", "call_faults_spoiled": "spoilt"}.items():
+        values = [f"{v} AS {k}" for k, v in SPOILT_CALLS.items()]
+        steps = {"spoilt": f"SELECT {', '.join(values)} FROM booking_log"} if log == "spoilt" else {}
+        found[name] = with_tables(_FAULTS.format(log=log), **steps)
     return found

@@ -15,8 +15,9 @@ from slotwise.functions import clock
 from slotwise.functions.text import glue
 from slotwise.operators import booking, bulk, generate, quality, reads
 from slotwise.plans.lineage import shared_folder
+from slotwise.sources.calls import call_faults, checked_calls
 from slotwise.sources.clinic import Clinic, apply_defaults
-from slotwise.sources.schemas import TABLES
+from slotwise.sources.schemas import LOG, REQUESTS, TABLES
 from slotwise.sources.star import star_clinic
 from slotwise.sql_api import register
 
@@ -79,6 +80,16 @@ def _reads() -> dict[str, Query]:
     return found
 
 
+# Columns of a log as a careless feed may send them.
+SPOILT_CALLS = {
+    "seq": "CASE WHEN id_ticket % 10 = 1 THEN NULL WHEN id_ticket % 10 = 3 THEN 7 ELSE seq END",
+    "op": "CASE WHEN id_ticket % 9 = 0 THEN NULL WHEN id_ticket % 9 = 1 THEN 'move' ELSE op END",
+    "id_patient": "CASE WHEN id_patient % 7 = 0 THEN 'x' || id_patient "
+    "WHEN id_patient % 7 = 1 THEN id_patient || '.5' ELSE ' ' || id_patient END",
+    "id_ticket": "CASE WHEN id_ticket % 8 = 0 THEN NULL ELSE id_ticket + 0.25 * (id_ticket % 2) END",
+}
+
+
 def _bookings() -> dict[str, Query]:
     def decided(c: Clinic, semantics: str) -> DataFrame:
         return booking.booking_decisions(c, c.requests, NOON, semantics=semantics)
@@ -89,7 +100,24 @@ def _bookings() -> dict[str, Query]:
     def logged(c: Clinic, semantics: str = "intended") -> DataFrame:
         return booking.booking_log(c, c.booking_log, NOON, semantics=semantics)
 
+    def from_text(c: Clinic) -> DataFrame:
+        """The requests as a feed of text sends them."""
+        feed = c.requests.select(
+            "seq", glue(" ", F.col("id_patient"), " ").alias("id_patient"), glue(F.col("id_ticket"), ".0").alias("id_ticket")
+        )
+        return checked_calls(feed, REQUESTS)
+
+    def in_ints(c: Clinic) -> DataFrame:
+        ints = [F.col(n).cast("int").alias(n) for n in ("seq", "id_patient", "id_ticket")]
+        return checked_calls(c.cancels.select(*ints), REQUESTS)
+
     found: dict[str, Query] = {
+        "booking_decisions_from_text": lambda c: booking.booking_decisions(c, from_text(c), NOON),
+        "cancel_decisions_from_int": lambda c: booking.cancel_decisions(c, in_ints(c), NOON),
+        "call_faults": lambda c: call_faults(c.booking_log, LOG),
+        "call_faults_spoiled": lambda c: call_faults(
+            c.booking_log.withColumns({k: F.expr(v) for k, v in SPOILT_CALLS.items()}), LOG
+        ),
         "booking_eligibility": lambda c: booking.booking_eligibility(c, c.requests, NOON),
         "cancel_decisions": cancelled,
         "journal_after_cancel": lambda c: booking.journal_after_cancel(c, cancelled(c)),
