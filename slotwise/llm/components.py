@@ -23,7 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
     ones, to the smallest of all, until nothing changes, which takes few rounds also for long
     chains. Minima are combined before the shuffle, so a node with very many links is no hot
     group. Each round is stored in the shared folder; only a count and a sum come to the
-    driver. Links of a node with itself and null ends are left out.
+    driver. Links of a node with itself and null ends are left out. RuntimeError is raised if links
+    still change after `ROUNDS` rounds; no partial result is returned.
     """
     links = edges.select(F.col("u"), F.col("v")).filter("u <> v")
     now = stored(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
