@@ -9,12 +9,14 @@ bytes at sample positions. The sample strings are ranked first, also bucket by b
 all of those inside a suffix's first LENGTH bytes are the only ones of their kind, the suffix
 ties with none.
 
-Strings are ordered by name, a hash of 64 bits, not by their bytes: what agrees matters here,
+Strings are ordered by name, a hash, not by their bytes: what agrees matters here,
 not which is less. A sample string that shares its name with another costs time alone. Repeats
 are sorted under two names that do not depend on each other and must be repeats under both.
 
 Blocks are runs of documents in their order, so the block alone tells which of two equal
-names comes first, and a name is one entry of its block, however often it is there.
+names comes first, and a name is one entry of its block, however often it is there. Rows of one
+id are one document: their strings are in the order of their starts. Where an id goes on in
+other blocks, the entries of its strings hold their starts too.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ COVER = (0, 1, 3, 13, 32, 36, 43, 52)  # fixed values: all distances modulo PERI
 BLOCK = 4_000_000  # bytes of a block of more than one document
 BUCKET = 2_000_000  # names of a bucket, about
 NAMINGS = 2
+SAMPLE_BITS = 40  # of the names of sample strings, whose chance ties cost time alone
+NAME_BITS = 56  # of each of the two names that a repeat needs
 _WORD = 2**64
 
 
@@ -68,22 +72,26 @@ def _powers_of(base: int, n: int) -> np.ndarray:
 
 
 class Names:
-    """Names of the strings of a block: polynomials modulo 2^64 from running sums, stirred."""
+    """Names of the strings of a block: polynomials modulo 2^64 from running sums, stirred, of
+    which the leading bits are kept."""
 
     def __init__(self, data: np.ndarray, naming: int):
         letters, base = _letters(naming)
         n = len(data)
         self.powers = _kept_powers(naming) if n <= BLOCK else _powers_of(base, n + 1)
+        self.unsized = np.uint64(pow(base, -n, _WORD))
         self.sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(letters[data] * self.powers[:n], out=self.sums[1:])
 
-    def of(self, at: np.ndarray, length: int) -> np.ndarray:
-        # Times base^(n - at), so that equal strings have equal names wherever they are.
+    def of(self, at: np.ndarray, length: int, bits: int) -> np.ndarray:
+        # Times base^(n - at) and base^-n, so that equal strings have equal names wherever they
+        # are, also in blocks of other sizes.
         names = (self.sums[at + length] - self.sums[at]) * self.powers[len(self.sums) - 1 - at]
+        names *= self.unsized
         names ^= names >> np.uint64(29)
         names *= np.uint64(0xBF58476D1CE4E5B9)
         names ^= names >> np.uint64(32)
-        return names
+        return names & ~np.uint64((1 << 64 - bits) - 1)
 
 
 # ---- blocks -----------------------------------------------------------------------------
@@ -99,7 +107,7 @@ def _blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = 0
 
     def row() -> pa.RecordBatch:
-        data = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+        data = zstandard.ZstdCompressor(level=9).compress(b"".join(texts))
         digests = [hashlib.md5(t).digest() for t in texts]
         values = [[first + made], [ids], [[len(t) for t in texts]], [digests], [data]]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary()]
@@ -131,6 +139,16 @@ class Block:
         self.data = self.whole[np.repeat(use, sizes)] if not use.all() else self.whole
         self.sizes = sizes[use]
         self.starts = np.cumsum(self.sizes) - self.sizes
+        ids = row["doc_id"]
+        # Places of the different ids among those of the block.
+        nth = np.cumsum([False, *(a != b for a, b in zip(ids, ids[1:], strict=False))])
+        self.nth, self.last = nth[use], int(nth[-1])
+        self.shared = self.last + 1 < len(ids)
+
+    def placed(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of the id that each position belongs to, and its start in the text."""
+        doc = np.searchsorted(self.starts, at, side="right") - 1
+        return self.nth[doc], at - self.starts[doc]
 
     def samples(self) -> np.ndarray:
         """Positions of the cover whose string ends within its document."""
@@ -179,35 +197,54 @@ class Block:
 
 # ---- sorting by buckets -----------------------------------------------------------------
 
-_RUNS = "block long, bucket int, names binary"
+_RUNS = "block long, bucket int, names binary, places binary"
 _MARKS = "block long, kind int, bucket int, marks binary"
+SHARED = -1  # kind of the marks that tell where an id of several blocks begins
 
 
-def _runs(block: int, names: np.ndarray, bits: int) -> pa.Table:
-    """One run of names for each bucket, the leading bits; `names` rise."""
+def _runs(block: int, names: np.ndarray, bits: int, kept: int, places: tuple[np.ndarray, ...] = ()) -> pa.Table:
+    """One run of names, of which `kept` bits are, for each bucket, the leading bits; `names` rise. `places` are those of
+    the names in the order of all texts, if the block alone does not tell them."""
     bucket = (names >> np.uint64(64 - bits)).astype(np.int64)
     here, firsts = np.unique(bucket, return_index=True)
-    parts = []
+    parts, beside = [], []
     for i, j in zip(firsts, np.append(firsts, len(names))[1:], strict=True):
-        rest = (names[i:j] & np.uint64((1 << 64 - bits) - 1)).astype(np.int64)
+        rest = ((names[i:j] & np.uint64((1 << 64 - bits) - 1)) >> np.uint64(64 - kept)).astype(np.int64)
         parts.append(packed(np.diff(rest, prepend=0)))
-    columns = [np.full(len(here), block), here.astype(np.int32), pa.array(parts, pa.binary())]
-    return pa.table(columns, names=["block", "bucket", "names"])
+        beside.append(packed(*(x[i:j] for x in places)) if places else None)
+    columns = [np.full(len(here), block), here.astype(np.int32), pa.array(parts, pa.binary()), pa.array(beside, pa.binary())]
+    return pa.table(columns, names=["block", "bucket", "names", "places"])
+
+
+def _after_first(part: pa.Table, names: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Which names of the runs of `part` come later than the first of their kind."""
+    rows = zip(part["block"].to_pylist(), part["places"].to_pylist(), sizes, strict=True)
+    places = [unpacked(p) if p else [np.full(n, block), np.zeros(n, dtype=np.int64)] for block, p, n in rows]
+    block, start = (np.concatenate(x) for x in zip(*places, strict=True))
+    order = np.lexsort((start, block, names))
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(names[order]) != 0]))
+    first = np.repeat(order[begins], np.diff(np.append(begins, len(order))))
+    marked = np.zeros(len(names), dtype=bool)
+    marked[order] = (block[order] != block[first]) | (start[order] != start[first])
+    return marked
 
 
 def _sorted_bucket(kind: int):
     def sort(part: pa.Table) -> pa.Table:
         """Marks for each run of a bucket: which of its names are in another run (kind 1), or
-        in one of an earlier block (others)."""
+        come earlier in one (others)."""
         part = part.sort_by("block")
         runs = [np.cumsum(unpacked(data)[0]) for data in part["names"].to_pylist()]
         names = np.concatenate(runs)
-        order = np.argsort(names, kind="stable")
-        same = np.diff(names[order]) == 0
-        marked = np.zeros(len(names), dtype=bool)
-        marked[order[1:]] = same
-        if kind == 1:
-            marked[order[:-1]] |= same
+        if part["places"].null_count < len(part):
+            marked = _after_first(part, names, [len(r) for r in runs])
+        else:
+            order = np.argsort(names, kind="stable")
+            same = np.diff(names[order]) == 0
+            marked = np.zeros(len(names), dtype=bool)
+            marked[order[1:]] = same
+            if kind == 1:
+                marked[order[:-1]] |= same
         ends = np.cumsum([len(r) for r in runs])
         marks = [np.packbits(marked[end - len(r) : end]).tobytes() for r, end in zip(runs, ends, strict=True)]
         kinds = np.full(len(runs), kind, dtype=np.int32)
@@ -227,6 +264,8 @@ class Work:
         copies = self.marks[0].get(0)
         self.copies = unpacked(copies)[0] if copies else np.zeros(0, dtype=np.int64)
         self.block = Block(self.row, self.copies)
+        # The block in which the first and the last id begin, if they are in other blocks too.
+        self.begin = {r["bucket"]: int(unpacked(r["marks"])[0][0]) for r in rows if r["kind"] == SHARED}
 
     def _marked(self, names: np.ndarray, kind: int) -> np.ndarray:
         """What came back for the rising `names`."""
@@ -237,24 +276,47 @@ class Work:
 
     def sample_names(self, naming: Names) -> tuple[np.ndarray, ...]:
         at = self.block.samples()
-        return at, *np.unique(naming.of(at, LENGTH - PERIOD + 1), return_inverse=True, return_counts=True)
+        return at, *np.unique(naming.of(at, LENGTH - PERIOD + 1, SAMPLE_BITS), return_inverse=True, return_counts=True)
 
     def tied(self, naming: Names) -> np.ndarray:
         at, names, back, many = self.sample_names(naming)
         return self.block.tied(at, (self._marked(names, 1) | (many > 1))[back])
 
+    def suffix_names(self, tied: np.ndarray, naming: Names) -> tuple[np.ndarray, ...]:
+        """The rising names of the tied suffixes, the first suffix of each name, and which
+        come later than that. Suffixes of one id with the same start are equally early."""
+        names, firsts, back = np.unique(naming.of(tied, LENGTH, NAME_BITS), return_index=True, return_inverse=True)
+        if not self.block.shared:
+            later = np.ones(len(tied), dtype=bool)
+            later[firsts] = False
+            return names, firsts, back, later
+        nth, start = self.block.placed(tied)
+        order = np.lexsort((start, nth, back))
+        firsts = order[np.searchsorted(back[order], np.arange(len(names)))]
+        return names, firsts, back, (nth != nth[firsts][back]) | (start != start[firsts][back])
+
+    def places(self, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Block and start by which positions are compared with those of other blocks: in an id
+        that is in other blocks too, the block where it begins and the start plus one."""
+        if not self.begin:
+            return ()
+        nth, start = self.block.placed(at)
+        block, place = np.full(len(at), self.row["block"]), np.zeros(len(at), dtype=np.int64)
+        for end, begin in self.begin.items():
+            inside = nth == (0 if end == 0 else self.block.last)
+            block[inside], place[inside] = begin, start[inside] + 1
+        return block, place
+
     def repeats(self, tied: np.ndarray, naming: Names, kind: int) -> np.ndarray:
         """Which of the tied suffixes have an earlier one with the same name."""
-        names, firsts, back = np.unique(naming.of(tied, LENGTH), return_index=True, return_inverse=True)
-        later = np.ones(len(tied), dtype=bool)
-        later[firsts] = False
+        names, _, back, later = self.suffix_names(tied, naming)
         return later | self._marked(names, kind)[back]
 
 
 def _sample_pass(bits: int):
     def name(blocks: pa.Table, marks: pa.Table) -> pa.Table:
         work = Work(blocks, marks, bits)
-        return _runs(work.row["block"], work.sample_names(Names(work.block.data, 0))[1], bits)
+        return _runs(work.row["block"], work.sample_names(Names(work.block.data, 0))[1], bits, SAMPLE_BITS)
 
     return name
 
@@ -265,7 +327,8 @@ def _suffix_pass(bits: int, naming: int):
         first = Names(work.block.data, 0)
         tied = work.tied(first)
         own = first if naming == 0 else Names(work.block.data, naming)
-        return _runs(work.row["block"], np.unique(own.of(tied, LENGTH)), bits)
+        names, firsts, *_ = work.suffix_names(tied, own)
+        return _runs(work.row["block"], names, bits, NAME_BITS, work.places(tied[firsts]))
 
     return name
 
@@ -300,13 +363,13 @@ def _last_pass(bits: int):
 
 
 def _whole_copies(blocks: DataFrame) -> DataFrame:
-    """Marks of kind 0: places in their blocks of texts that an earlier document holds whole."""
-    each = blocks.select("block", F.posexplode(F.arrays_zip("digest", "size")).alias("pos", "own")).select(
-        "block", "pos", F.col("own.digest").alias("digest"), F.col("own.size").alias("size")
+    """Marks of kind 0: places in their blocks of texts that a document of a smaller id holds whole."""
+    each = blocks.select("block", F.posexplode(F.arrays_zip("digest", "size", "doc_id")).alias("pos", "own")).select(
+        "block", "pos", "own.*"
     )
-    long = each.filter(F.col("size") >= LENGTH).withColumn("place", F.struct("block", "pos"))
+    long = each.filter(F.col("size") >= LENGTH).withColumn("place", F.struct("block", "pos", "doc_id"))
     firsts = long.groupBy("digest").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = long.join(firsts, "digest").filter("place <> first").groupBy("block").agg(F.collect_list("pos").alias("at"))
+    copies = long.join(firsts, "digest").filter("NOT doc_id <=> first.doc_id").groupBy("block").agg(F.collect_list("pos").alias("at"))
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -316,6 +379,21 @@ def _whole_copies(blocks: DataFrame) -> DataFrame:
     return copies.mapInPandas(write, _MARKS)
 
 
+def _shared_ids(blocks: DataFrame) -> DataFrame:
+    """Marks of kind SHARED for blocks whose first (bucket 0) or last id (1) is in others too."""
+    ends = F.array(F.col("doc_id")[0], F.element_at("doc_id", -1))
+    each = blocks.select("block", F.posexplode(ends).alias("bucket", "id"))
+    begins = each.groupBy(F.col("id").alias("shared")).agg(F.min("block").alias("begin"), F.max("block").alias("_end"))
+    found = each.join(begins.filter("begin <> _end"), F.col("id").eqNullSafe(F.col("shared"))).select("block", "bucket", "begin")
+
+    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            marks = [packed(np.array([begin], dtype=np.int64)) for begin in part["begin"]]
+            yield pd.DataFrame({"block": part["block"], "kind": SHARED, "bucket": part["bucket"], "marks": marks})
+
+    return found.mapInPandas(write, _MARKS)
+
+
 # Jobs of their own functions, so that no plan of theirs is held and their shuffle files go.
 
 
@@ -339,9 +417,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A byte repeats if a string of LENGTH bytes covers it that also starts earlier, in a
     document with a smaller id or before in the same one. Columns: doc_id (whole numbers),
     n_bytes, spans, kept (bytes, since a span may end inside a character). Null ids come before
-    all others; documents with one id are in the order of a hash of their text, and equal ones
-    are one after the other, so all but one of them go. A null text is empty; an empty table
-    gives an empty result; other columns are left out.
+    all others and are one id. Rows of one id are one document, in which the start alone tells
+    what is earlier: equal rows of one id have equal results. A null text is empty; an empty
+    table gives an empty result; other columns are left out.
 
     Texts are stored once, in blocks of BLOCK bytes or one longer text, and go through four
     passes: cover samples, suffixes under both names, and the cut. Between them only names and
@@ -355,7 +433,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     release(spark)
     total = blocks.agg(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0] or 0
     bits = max(4, (total * len(COVER) // PERIOD // BUCKET).bit_length())
-    marks = stored(_whole_copies(blocks), "whole-copies")
+    marks = stored(_whole_copies(blocks).unionByName(_shared_ids(blocks)), "whole-copies")
     for kind, names in [(1, _sample_pass(bits)), *((2 + k, _suffix_pass(bits, k)) for k in range(NAMINGS))]:
         marks = marks.unionByName(_marks(blocks, marks, kind, names))
         release(spark)

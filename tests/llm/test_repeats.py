@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,54 @@ def test_null_and_shared_ids_and_equal_rows(spark):
     assert repeats.remove_repeats(docs.filter(F.lit(False))).collect() == []
 
 
+def by_id_and_start(rows):
+    """(id, spans) where a string is earlier in a smaller id, or at a smaller start of the same one."""
+    first = {}
+    windows = lambda data: range(len(data) - repeats.LENGTH + 1)
+    for doc_id, text in rows:
+        data = text.encode()
+        for i in windows(data):
+            key = data[i : i + repeats.LENGTH]
+            first[key] = min(first.get(key, (doc_id, i)), (doc_id, i))
+    found = []
+    for doc_id, text in rows:
+        data = text.encode()
+        gone = bytearray(len(data))
+        for i in windows(data):
+            if first[data[i : i + repeats.LENGTH]] < (doc_id, i):
+                gone[i : i + repeats.LENGTH] = b"\1" * repeats.LENGTH
+        edges = [i for i in range(len(gone) + 1) if (i and gone[i - 1]) != (i < len(gone) and gone[i])]
+        found.append((doc_id, [list(x) for x in zip(edges[::2], edges[1::2], strict=True)]))
+    return sorted(found)
+
+
+@pytest.mark.parametrize("block", [4_000_000, 3_000])
+def test_rows_of_one_id_are_one_document(spark, monkeypatch, block):
+    """Also where the rows of an id are in several blocks."""
+    made = [t or "" for t in texts(4)]
+    rows = [(i // 3, t) for i, t in enumerate(made)] + [(9, made[0] + "z")] * 2 + list(enumerate(made[5:15]))
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    pass_of = repeats._blocks
+
+    def small(parts):  # the workers import the module anew
+        repeats.BLOCK = block
+        yield from pass_of(parts)
+
+    monkeypatch.setattr(repeats, "_blocks", small)
+    docs = spark.createDataFrame([(*r, 9, 8, "x", 7) for r in rows], SCHEMA).repartition(4)
+    found = repeats.remove_repeats(docs).collect()
+    assert sorted((r.doc_id, r.spans) for r in found) == by_id_and_start(rows)
+
+
+def test_names_do_not_depend_on_the_block():
+    """Equal strings in blocks of other sizes and at other places."""
+    text = bytes(i * i % 251 for i in range(300))
+    data = [np.frombuffer(x, dtype=np.uint8) for x in (text, b"before" + text, text + b"behind" * 50)]
+    for naming in range(repeats.NAMINGS):
+        one, two, three = (repeats.Names(x, naming).of(np.array([k]), repeats.LENGTH, 64) for x, k in zip(data, (5, 11, 5), strict=True))
+        assert one == two == three
+
+
 def test_the_cover_has_all_distances():
     v = repeats.PERIOD
     assert {(x - y) % v for x in repeats.COVER for y in repeats.COVER} == set(range(v))
