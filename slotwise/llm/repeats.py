@@ -200,6 +200,7 @@ class Block:
 _RUNS = "block long, bucket int, names binary, places binary"
 _MARKS = "block long, kind int, bucket int, marks binary"
 SHARED = -1  # kind of the marks that tell where an id of several blocks begins
+MET = NAMINGS + 2  # kind of the marks that tell which first names of suffixes are in other blocks
 
 
 def _runs(block: int, names: np.ndarray, bits: int, kept: int, places: tuple[np.ndarray, ...] = ()) -> pa.Table:
@@ -231,24 +232,27 @@ def _after_first(part: pa.Table, names: np.ndarray, sizes: list[int]) -> np.ndar
 
 def _sorted_bucket(kind: int):
     def sort(part: pa.Table) -> pa.Table:
-        """Marks for each run of a bucket: which of its names are in another run (kind 1), or
-        come earlier in one (others)."""
+        """Marks for each run of a bucket: which of its names are in another run (kinds 1 and,
+        beside kind 2, MET), or come earlier in one (others)."""
         part = part.sort_by("block")
         runs = [np.cumsum(unpacked(data)[0]) for data in part["names"].to_pylist()]
         names = np.concatenate(runs)
+        order = np.argsort(names, kind="stable")
+        same = np.diff(names[order]) == 0
+        later = np.zeros(len(names), dtype=bool)
+        later[order[1:]] = same
+        met = later.copy()
+        met[order[:-1]] |= same
         if part["places"].null_count < len(part):
-            marked = _after_first(part, names, [len(r) for r in runs])
-        else:
-            order = np.argsort(names, kind="stable")
-            same = np.diff(names[order]) == 0
-            marked = np.zeros(len(names), dtype=bool)
-            marked[order[1:]] = same
-            if kind == 1:
-                marked[order[:-1]] |= same
+            later = _after_first(part, names, [len(r) for r in runs])
         ends = np.cumsum([len(r) for r in runs])
-        marks = [np.packbits(marked[end - len(r) : end]).tobytes() for r, end in zip(runs, ends, strict=True)]
-        kinds = np.full(len(runs), kind, dtype=np.int32)
-        return pa.table([part["block"], kinds, part["bucket"], pa.array(marks, pa.binary())], names=["block", "kind", "bucket", "marks"])
+        found = []
+        for own, marked in {1: [(1, met)], 2: [(2, later), (MET, met)]}.get(kind, [(kind, later)]):
+            marks = [np.packbits(marked[end - len(r) : end]).tobytes() for r, end in zip(runs, ends, strict=True)]
+            kinds = pa.array(np.full(len(runs), own, dtype=np.int32))
+            columns = [part["block"], kinds, part["bucket"], pa.array(marks, pa.binary())]
+            found.append(pa.table(columns, names=["block", "kind", "bucket", "marks"]))
+        return pa.concat_tables(found)
 
     return sort
 
@@ -260,7 +264,7 @@ class Work:
         self.row = blocks.to_pylist()[0]
         self.bits = bits
         rows = sorted(marks.to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
-        self.marks = {kind: {r["bucket"]: r["marks"] for r in rows if r["kind"] == kind} for kind in range(NAMINGS + 2)}
+        self.marks = {kind: {r["bucket"]: r["marks"] for r in rows if r["kind"] == kind} for kind in range(MET + 1)}
         copies = self.marks[0].get(0)
         self.copies = unpacked(copies)[0] if copies else np.zeros(0, dtype=np.int64)
         self.block = Block(self.row, self.copies)
@@ -278,9 +282,12 @@ class Work:
         at = self.block.samples()
         return at, *np.unique(naming.of(at, LENGTH - PERIOD + 1, SAMPLE_BITS), return_inverse=True, return_counts=True)
 
-    def tied(self, naming: Names) -> np.ndarray:
+    def tied(self, naming: Names) -> tuple[np.ndarray, np.ndarray]:
+        """The tied suffixes, and those of them that may have an equal one in another block;
+        only their names are sent."""
         at, names, back, many = self.sample_names(naming)
-        return self.block.tied(at, (self._marked(names, 1) | (many > 1))[back])
+        marked = self._marked(names, 1)
+        return self.block.tied(at, (marked | (many > 1))[back]), self.block.tied(at, marked[back])
 
     def suffix_names(self, tied: np.ndarray, naming: Names) -> tuple[np.ndarray, ...]:
         """The rising names of the tied suffixes, the first suffix of each name, and which
@@ -307,10 +314,20 @@ class Work:
             block[inside], place[inside] = begin, start[inside] + 1
         return block, place
 
-    def repeats(self, tied: np.ndarray, naming: Names, kind: int) -> np.ndarray:
-        """Which of the tied suffixes have an earlier one with the same name."""
+    def met(self, sent: np.ndarray, first: Names) -> np.ndarray:
+        """The sent suffixes whose first name another block has too; only these can have an
+        equal one there, so only their other names are sent."""
+        names, back = np.unique(first.of(sent, LENGTH, NAME_BITS), return_inverse=True)
+        return sent[self._marked(names, MET)[back]]
+
+    def repeats(self, tied: np.ndarray, sent: np.ndarray, naming: Names, kind: int) -> np.ndarray:
+        """Which of the tied suffixes have an earlier one with the same name, in their block or,
+        for those that were sent, in another one."""
         names, _, back, later = self.suffix_names(tied, naming)
-        return later | self._marked(names, kind)[back]
+        some = np.unique(naming.of(sent, LENGTH, NAME_BITS))
+        marked = np.zeros(len(names), dtype=bool)
+        marked[np.searchsorted(names, some)] = self._marked(some, kind)
+        return later | marked[back]
 
 
 def _sample_pass(bits: int):
@@ -325,10 +342,13 @@ def _suffix_pass(bits: int, naming: int):
     def name(blocks: pa.Table, marks: pa.Table) -> pa.Table:
         work = Work(blocks, marks, bits)
         first = Names(work.block.data, 0)
-        tied = work.tied(first)
-        own = first if naming == 0 else Names(work.block.data, naming)
-        names, firsts, *_ = work.suffix_names(tied, own)
-        return _runs(work.row["block"], names, bits, NAME_BITS, work.places(tied[firsts]))
+        _, sent = work.tied(first)
+        own = first
+        if naming:
+            sent = work.met(sent, first)
+            own = Names(work.block.data, naming)
+        names, firsts, *_ = work.suffix_names(sent, own)
+        return _runs(work.row["block"], names, bits, NAME_BITS, work.places(sent[firsts]))
 
     return name
 
@@ -340,11 +360,12 @@ def _last_pass(bits: int):
     def cut(blocks: pa.Table, marks: pa.Table) -> pa.Table:
         work = Work(blocks, marks, bits)
         names = Names(work.block.data, 0)
-        tied = work.tied(names)
-        found = np.ones(len(tied), dtype=bool)
-        for naming in range(NAMINGS):
-            names = names if naming == 0 else Names(work.block.data, naming)
-            found &= work.repeats(tied, names, 2 + naming)
+        tied, sent = work.tied(names)
+        met = work.met(sent, names)
+        found = work.repeats(tied, sent, names, 2)
+        for naming in range(1, NAMINGS):
+            names = Names(work.block.data, naming)
+            found &= work.repeats(tied, met, names, 2 + naming)
         spans = work.block.spans(tied[found])
         for copy in work.copies.tolist():
             spans[copy] = [[0, work.row["size"][copy]]]
@@ -406,7 +427,7 @@ def _in_blocks(docs: DataFrame) -> DataFrame:
 
 def _marks(blocks: DataFrame, marks: DataFrame, kind: int, names) -> DataFrame:
     """One pass over the blocks, whose runs of names are sorted bucket by bucket."""
-    known = marks.filter(F.col("kind") < 2).groupBy("block")
+    known = marks.filter(F.col("kind").isin(SHARED, 0, 1, MET)).groupBy("block")
     runs = blocks.select(*_TEXTS).groupBy("block").cogroup(known).applyInArrow(names, _RUNS)
     return stored(runs.groupBy("bucket").applyInArrow(_sorted_bucket(kind), _MARKS), "suffix-marks")
 
