@@ -53,6 +53,35 @@ def test_word_encoder_equals_the_library():
         assert own.tolist() == tokenize.plain_ids(path, text)
 
 
+def test_word_encoder_hands_only_odd_texts_to_the_library(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = ["Don't 12 're'S x'tt ab,cd.", "Größe ÉTÉ Ÿ Ø÷ß× ĸž", "Ёлка «да» 5€ “x”…", "a\xa0b\t_x__''s\r\n~", ""]
+    odd = ["x² ª", "e\u0301", "ŉ İ µ", "\x00a\x0bb", "日本", "<|endoftext|>", "a\u2028b"]
+    encoder = tokenize.WordEncoder(path)
+    wanted = [tokenize.plain_ids(path, t) for t in plain + odd]
+    asked = []
+    monkeypatch.setattr(tokenize, "plain_ids", lambda p, t, whole=tokenize.plain_ids: asked.append(t) or whole(p, t))
+    for _ in range(2):  # with an empty memory and a full one
+        assert [ids.tolist() for ids in encoder.ids(plain + odd)] == wanted
+    assert asked == odd * 2
+
+
+def test_word_encoder_of_another_rule_leaves_all_to_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Two  Blanks and\nlines", " x'S 12"]
+    found = tokenize.WordEncoder(path).ids(texts)
+    assert [ids.tolist() for ids in found] == [tokenize.plain_ids(path, t) for t in texts]
+
+
+def test_words_known_from_other_chunks_are_not_encoded_again(monkeypatch):
+    encoder = tokenize.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    first = encoder.ids(["hello world"])[0]
+    asked = []
+    monkeypatch.setattr(encoder, "_words", lambda words, own=encoder._words: asked.extend(words) or own(words))
+    again = encoder.ids(["hello, (world)"])[0]
+    assert not {"hello", "world"} & set(asked) and set(first.tolist()) <= set(again.tolist())
+
+
 def test_packing_places_every_piece_once(docs, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = packing.pack(docs, path).toPandas()
