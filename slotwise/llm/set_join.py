@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, bounded_batches, release, shuffle_parts, slices, stored
+from .common import LOWER, UPPER, bounded_batches, forget, release, shuffle_parts, slices, stored
 from .components import components
 
 WIDTH = 5  # words of a shingle
@@ -153,6 +153,7 @@ def _describe(docs: DataFrame) -> DataFrame:
     """Per document its set's size, name and parity map; per task the counters of its shingles."""
 
     def describe(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         shingles = Shingles()
         counts = np.zeros(SKETCH, dtype=np.uint32)
         for part in parts:
@@ -205,6 +206,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def prefix(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         shingles, late = Shingles(), shared.value
         for part in parts:
             nodes, sizes, tokens = [], [], []
@@ -403,6 +405,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sets link, made anew from the texts, which shuffle smaller."""
 
     def check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         shingles = Shingles()
         for part in parts:
             good = []

@@ -11,6 +11,8 @@ from functools import lru_cache
 import numpy as np
 import regex
 
+from .common import kept
+
 KEPT = 300_000  # chunks in each of the two generations that a worker keeps
 JOINED = 400  # missing words that the library gets as one text
 
@@ -205,7 +207,7 @@ class WordEncoder:
         ]
 
 
-@lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
-    """The encoder of this worker process, which its tasks use one after the other."""
-    return WordEncoder(path)
+    """The encoder of this worker process, which its tasks use one after the other until
+    those of another operator come."""
+    return kept(WordEncoder, path)

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fold, slices, stored
+from .common import bounded_batches, fold, forget, slices, stored
 
 SAMPLE = 20_000  # labelled documents to learn from, at most
 BUCKETS = 1 << 20  # terms are hashed to so many numbers
@@ -278,6 +278,7 @@ def toxicity(docs: DataFrame, model: Machine, text: str = "text") -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         machine = shared.value
         found = Terms(machine.column)
         for batch in batches:

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from slotwise.llm import decontamination, embeddings, languages, packing, passages, personal_data, secrets, set_join, token_counts, tokenize, toxicity
+from slotwise.llm import common, decontamination, embeddings, languages, packing, passages, personal_data, secrets, set_join, token_counts, tokenize, toxicity
 from slotwise.llm.common import scratch
 from slotwise.llm.components import components
 
@@ -82,6 +82,16 @@ def test_words_known_from_other_chunks_are_not_encoded_again(monkeypatch):
     assert not {"hello", "world"} & set(asked) and set(first.tolist()) <= set(again.tolist())
 
 
+def test_a_worker_keeps_the_encoder_until_another_operator_comes():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    one = tokenize.word_encoder(path)
+    assert tokenize.word_encoder(path) is one
+    common.forget()
+    assert tokenize.word_encoder(path) is not one
+    assert common.kept(list) == [] and common.kept(list) is common.kept(list)
+    assert list(common._KEPT) == [(list, ())]
+
+
 def test_packing_places_every_piece_once(docs, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = packing.pack(docs, path).toPandas()
