@@ -247,10 +247,10 @@ def _may_overlap(n_a: np.ndarray, map_a: np.ndarray, n_b: np.ndarray, map_b: np.
 
 
 def _values(column: pa.Array) -> np.ndarray:
-    """A column of numbers, or of parity maps as rows of 64-bit words."""
+    """A column of numbers, or of byte strings of one length as rows of 64-bit words."""
     if pa.types.is_integer(column.type):
         return np.array(column, dtype=np.int64)
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), -1)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray]]:

@@ -291,6 +291,37 @@ def test_equal_passages_that_hold_a_frequent_line(spark):
     assert all(found[p].end - found[p].start >= 60 for p in pairs)
 
 
+def test_similar_passages_that_hold_a_frequent_line(spark):
+    """Each passage is in two documents, one word of it differs; a part of it is a line of 60
+    others too, so the two are like each other and not like the first of a list."""
+    draw = np.random.default_rng(13)
+    word = lambda n: [f"s{k}" for k in draw.integers(0, 1 << 40, n)]
+    texts, pairs = [], set()
+    for size in (24, 30, 36):
+        line = word(size)
+        texts += [" ".join(word(20) + line + word(20)) for _ in range(60)]
+        for _ in range(20):
+            before, between, behind = word(52 - size), word(4), word(1)
+            pairs.add((len(texts), len(texts) + 1))
+            texts += [" ".join(word(30) + before + word(1) + between + line + behind + word(30)) for _ in range(2)]
+    rows = passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {tuple(sorted((r.doc_id, r.other_id))) for r in rows}
+    assert pairs <= found
+
+
+def test_similar_surroundings():
+    """One changed, added or missing word of a passage, at any place of it."""
+    draw = np.random.default_rng(14)
+    x = draw.integers(1, 1 << 62, 200).astype(np.uint64)
+    own = passages._surroundings(x, np.array([100]))
+    for gap, other in ((5, 5), (4, 5), (5, 4), (6, 6), (7, 7)):
+        y = np.concatenate([x[:115], draw.integers(1, 1 << 62, other).astype(np.uint64), x[115 + gap : 135 + gap]])
+        y[:90] = draw.integers(1, 1 << 62, 90)
+        # 25 equal ones around place 100, then the gap, then 20.
+        assert passages._similar(own, passages._surroundings(y, np.array([100])))[0] == (gap <= 6 and other <= 6)
+    assert not passages._similar(own, passages._surroundings(x[81:], np.array([0])))[0]
+
+
 def test_whole_copies_with_white_space_at_their_ends(spark):
     """The bounds are those of the words, and 49 words are no passage whatever surrounds them."""
     long, short = (" ".join(f"e{k}_{n}" for k in range(n)) for n in (60, 49))
