@@ -22,6 +22,7 @@ CONTEXT = RUN // 2  # of them on the longer side of their minimum
 SIDE = 48  # shingles on a side of a minimum that entries are compared by; LEAST or more
 OFFSETS = (0, 13, 26, COMMON - 1)  # of runs of COMMON shingles before a minimum
 POSTINGS = 400_000
+ROUNDS = 4  # in which pairs are verified
 AT_ONCE = 1 << 14  # pairs of entries that are compared at once
 _SEED = _mixed(np.array([0x9E3779B97F4A7C15], dtype=np.uint64))[0]
 
@@ -450,10 +451,16 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     ends = agreed.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     texts = stored(heads.join(ends, "node", "left_semi").select("node", "text"), "passage-texts", "zstd")
     release(spark)
-    both = agreed.join(texts.select(F.col("node").alias("u"), F.col("text").alias("one")), "u").join(
-        texts.select(F.col("node").alias("v"), F.col("text").alias("two")), "v"
-    )
-    found = both.select("u", "v", "one", "two").mapInPandas(_verify, RESULT)
+    found = None
+    for part in range(ROUNDS):
+        # A pair carries a text through a shuffle; a round's files go before the next round.
+        some = agreed.filter(F.pmod(F.xxhash64("u"), F.lit(ROUNDS)) == part)
+        both = some.join(texts.select(F.col("node").alias("u"), F.col("text").alias("one")), "u").join(
+            texts.select(F.col("node").alias("v"), F.col("text").alias("two")), "v"
+        )
+        passed = stored(both.select("u", "v", "one", "two").mapInPandas(_verify, RESULT), "passage-found")
+        found = passed if found is None else found.unionByName(passed)
+        release(spark)
     named = found.join(classes.select(F.col("node").alias("u"), F.col("first").alias("other_id")), "u").join(
         classes.select(F.col("node").alias("v"), F.col("first").alias("doc_id")), "v"
     )
