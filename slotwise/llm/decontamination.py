@@ -15,6 +15,7 @@ from .common import LOWER, UPPER, bounded_batches, stored
 
 WINDOW = 10
 BLOCK_WORDS = 500_000  # words of an index block; a longer document is a block of its own
+GROUP_BYTES = 8 << 20  # of a row group of the stored index, a few blocks; a task reads one at a time
 GAP = 64  # empty positions between documents, more than any window is long
 QUERY_WINDOWS = 100_000  # windows that a task holds at once; more are searched in turns
 
@@ -103,7 +104,7 @@ def build_index(docs: DataFrame) -> DataFrame:
             yield _block(f"{task}-{made}", ids, texts)
 
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return stored(plain.mapInArrow(build, BLOCK), "postings")
+    return stored(plain.mapInArrow(build, BLOCK), "postings", group_bytes=GROUP_BYTES)
 
 
 def windows(text: str | None, length: int = WINDOW) -> list[list[bytes]]:
