@@ -22,9 +22,9 @@ def test_rounds_leave_only_the_last_of_their_stored_rows(spark):
     assert kept(spark) - before == {os.path.basename(found._durable_path)}
 
 
-@pytest.mark.parametrize("semantics, stored", [("intended", 2)])
+@pytest.mark.parametrize("semantics, stored", [("intended", 2), ("literal", 1)])
 def test_a_log_keeps_only_what_its_result_reads(spark, make_clinic, semantics, stored):
-    """Of the intended log the calls and the last round."""
+    """Of the intended log the calls and the last round, of the literal one the last round."""
     clinic = make_clinic(**base(patient_journals=[dict(id_patient=1, id_ticket=1, status=1)]))
     log = spark.createDataFrame(random_log(random.Random(3), 60, 5, 2), LOG)
     before = kept(spark)
